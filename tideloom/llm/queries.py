@@ -33,6 +33,30 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fertility import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_dedup
+
+    return near_dedup(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -47,7 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_blocks, op9_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_blocks, op4_fertility, op6_language, op7_near_dedup, op8_toxicity, op9_packing, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
