@@ -62,7 +62,7 @@ def tree_paths(tokens: np.ndarray, n_trees: int, levels: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, n_trees: int, levels: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (a 128-bit digest of the set), tokens (binary) and nodes of every row."""
+    """doc_id, key (a hash of the text), n_shingles, set_a, set_b (a 128-bit digest of the set), tokens (binary) and nodes of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -76,17 +76,19 @@ def signatures(docs: DataFrame, size: int, n_trees: int, levels: int) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [
                     table.column("doc_id").combine_chunks(),
+                    table.column("key").combine_chunks(),
                     pa.array(np.fromiter(map(len, sets), np.int64, len(sets))),
                     pa.array(np.ascontiguousarray(digests[:, 0])),
                     pa.array(np.ascontiguousarray(digests[:, 1])),
                     pa.array([t.tobytes() for t in tokens], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * nodes.shape[1]), flat),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "tokens", "nodes"],
+                names=["doc_id", "key", "n_shingles", "set_a", "set_b", "tokens", "nodes"],
             )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, tokens binary, nodes array<long>")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return source.mapInArrow(run, "doc_id long, key long, n_shingles long, set_a long, set_b long, tokens binary, nodes array<long>")
 
 
 def blocked(members: DataFrame, key: str, block: int) -> DataFrame:
@@ -213,7 +215,7 @@ def confirmed(members: DataFrame, size: int, percent: int, agree: int) -> DataFr
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, n_trees: int = 10, levels: int = 4, leaf: int = 100, agree: int = 0, node_block: int = 20_000, family_block: int = 2_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and the class of every row.
+    """doc_id, n_shingles, component_id, kept and key (a hash of the text) of every row.
 
     ``agree``: least number of equal tokens of a candidate pair; 0 takes the threshold's expectation less
     four and a half standard deviations.
@@ -245,12 +247,12 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, n_trees: int =
     names = named.groupBy("component").agg(F.min("least").alias("name"))
     of_class = named.select(F.col("node").alias("member"), "component").join(names, "component").select("member", "name")
     labelled = classes.join(of_class, "member", "left").select("set_a", "set_b", F.coalesce("name", "least").alias("name"), "member")
-    every = made.select("doc_id", "row", "n_shingles", "set_a", "set_b").join(labelled, ["set_a", "set_b"], "left")
+    every = made.select("doc_id", "key", "row", "n_shingles", "set_a", "set_b").join(labelled, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.nullif("name", F.lit(2**63 - 1)))
     # of rows with the component's id, the one that stands for its class is kept
     alone = F.col("n_shingles") == 0
     kept = alone | (F.col("row") == F.col("member")) & F.col("doc_id").eqNullSafe(component)
-    return every.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return every.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "key")
 
 
 def _same_set(found: DataFrame, size: int) -> DataFrame:
@@ -274,9 +276,10 @@ def _same_set(found: DataFrame, size: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of ``docs`` that :func:`near_dedup` keeps, with all their columns; one row of each component."""
-    found = near_dedup(docs, **options)
-    decided = common.stored(found.select("doc_id", "kept"), "neardup-decisions")
-    kept = decided.filter("kept").select(F.col("doc_id").alias("__id"))
-    if decided.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    raise ValueError("doc_id must not repeat here; remove exact copies first")
+    found = common.stored(near_dedup(docs, **options).select("doc_id", "key", "kept"), "neardup-decisions")
+    kept = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__kept"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    left = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")), "left_semi")
+    if not found.groupBy("doc_id", "key").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "__key"])
+    return left.drop("__key")

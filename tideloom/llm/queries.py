@@ -39,6 +39,12 @@ def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeats
+
+    return repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import language_id
 
@@ -48,7 +54,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_dedup
 
-    return near_dedup(_table(spark, sf_dir, "documents"), size=3, percent=85)
+    return near_dedup(_table(spark, sf_dir, "documents"), size=3, percent=85).drop("key")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +77,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_blocks, op4_fertility, op6_language, op7_near_dedup, op8_toxicity, op9_packing, op10_byte_bpe)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_token_blocks, op4_fertility, op5_suffix_array, op6_language, op7_near_dedup, op8_toxicity, op9_packing, op10_byte_bpe, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
