@@ -171,9 +171,9 @@ def _scan(text: np.ndarray, store: Store, rising: bool, is_s: np.ndarray, counts
     slot = np.empty(sigma, np.int64)
     slot[order] = np.arange(sigma)
     head = bounds[:-1].copy()  # by slot
-    queue, prefix = store.array(int(bounds[-1]), np.int64), store.array(int(bounds[-1]), np.int16)
-    narrow = np.uint16 if sigma < 1 << 16 else np.int64
     n = len(text)
+    queue, prefix = store.array(int(bounds[-1]), np.int32 if n < 2**31 - 1 else np.int64), store.array(int(bounds[-1]), np.int16)
+    narrow = np.uint16 if sigma < 1 << 16 else np.int64
     if rising:  # the empty suffix comes first and puts the last symbol
         s = slot[text[n - 1]]
         queue[head[s]], prefix[head[s]] = n - 1, 0
@@ -248,12 +248,12 @@ def suffix_order(text: np.ndarray, cap: int, store: Store | None = None, in_memo
     store = store or Store()
     sigma = int(text.max()) + 1
     # types: S if the next different symbol is greater; the last suffix is L
-    step = np.sign(np.diff(text.astype(np.int64)))
-    known = np.where(step != 0, np.arange(n - 1), n)
-    nearest = np.minimum.accumulate(known[::-1])[::-1]
+    small = np.int32 if n < 2**31 - 1 else np.int64  # of positions
+    up, same = text[1:] > text[:-1], text[1:] == text[:-1]
+    nearest = np.minimum.accumulate(np.where(same, n, np.arange(n - 1, dtype=small)).astype(small)[::-1])[::-1]
     is_s = np.zeros(n, bool)
-    ok = nearest < n
-    is_s[:-1][ok] = step[nearest[ok]] > 0
+    is_s[:-1] = up[np.minimum(nearest, n - 2)] & (nearest < n)
+    del up, same, nearest
     star = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     m = len(star)
     if m > 1:
@@ -268,8 +268,9 @@ def suffix_order(text: np.ndarray, cap: int, store: Store | None = None, in_memo
             base = int(np.ceil(np.sqrt(int(name.max()) + 1)))
             digits = np.stack([name // base, name % base], axis=1).reshape(-1).astype(np.int32)
             two_order, two_lcp = suffix_order(digits, 2 * cap, store, in_memory)
+            del digits
             even = np.flatnonzero(two_order % 2 == 0)
-            order = two_order[even] // 2
+            order = two_order[even].astype(np.int64) // 2
             shared = np.zeros(m, np.int64)
             shared[1:] = _least_between(two_lcp, even[:-1] + 1, even[1:] + 1) // 2
         ends = np.append(star, n)
@@ -287,7 +288,7 @@ def suffix_order(text: np.ndarray, cap: int, store: Store | None = None, in_memo
     down, down_lcp = l_queue[::-1], np.concatenate([[0], l_lcp[::-1][:-1]]) if len(l_lcp) else l_lcp
     down_bounds = len(l_queue) - l_bounds[::-1]
     s_queue, s_lcp, s_bounds = _scan(text, store, False, is_s, s_counts, down, down_lcp, down_bounds, cap)
-    order, lcp = store.array(n, np.int64), store.array(n, np.int16)
+    order, lcp = store.array(n, small), store.array(n, np.int16)
     at = 0
     for symbol in np.flatnonzero(l_counts + s_counts).tolist():
         a, b = int(l_bounds[symbol]), int(l_bounds[symbol + 1])
@@ -305,4 +306,4 @@ def suffix_order(text: np.ndarray, cap: int, store: Store | None = None, in_memo
         at = end
     if own:
         store.close()
-    return order, lcp.astype(np.int64)
+    return order, lcp

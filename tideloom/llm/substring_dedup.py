@@ -180,8 +180,8 @@ def judge_shard(ids: np.ndarray, keys: np.ndarray, place: np.ndarray, offset: np
         suffixes, shared = suffix_order(text, least, store)
     finally:
         store.close()
-    owner = np.repeat(np.arange(len(number)), sizes + 1)
-    valid = np.arange(len(text)) - begin[owner] <= sizes[owner] - least
+    owner = np.repeat(np.arange(len(number), dtype=np.int32), sizes + 1)
+    valid = np.arange(len(text)) <= (begin + sizes - least)[owner]
     by = np.where(valid, smallest[owner], NO_ID)
     edge = np.flatnonzero(np.concatenate([[True], shared[1:] < least]))
     winner = np.empty(len(text), np.int64)
@@ -277,7 +277,7 @@ def _cut(raw: bytes, spans: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def repeats(docs: DataFrame, least: int = 50, seed: int = 12, shard_bytes: int = 16_000_000) -> DataFrame:
+def repeats(docs: DataFrame, least: int = 50, seed: int = 12, shard_bytes: int = 6_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +294,7 @@ def repeats(docs: DataFrame, least: int = 50, seed: int = 12, shard_bytes: int =
     return joined.select("doc_id", "__text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, least: int = 50, seed: int = 12, shard_bytes: int = 16_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 50, seed: int = 12, shard_bytes: int = 6_000_000) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``, all other columns as they were.  Null texts stay null."""
     joined = _with_spans(_keyed(docs), least, seed, shard_bytes)
     touched = F.col("__spans").isNotNull()
