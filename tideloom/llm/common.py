@@ -13,9 +13,11 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text (code points, as a cheap bound) that a Python worker handles at once.
 BLOCK_CHARS = 4_000_000
@@ -99,3 +101,35 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = B
 def texts_of(table: pa.Table, text: str = "text") -> list[str]:
     """The texts of a block; null counts as empty."""
     return [t or "" for t in table.column(text).to_pylist()]
+
+
+def marked(df: DataFrame, column: str, most_bits: int = 1 << 26) -> np.ndarray:
+    """A bit map of hashes of a column of longs, as 64-bit words; at most ``most_bits`` bits reach the driver, whatever the table's size."""
+    bits = 1 << 16
+    n = df.count()
+    while bits < min(most_bits, 16 * n):
+        bits *= 2
+    placed = df.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("place")).selectExpr("place >> 6 as word", "1L << cast(place & 63 as int) as bit")
+    words = placed.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = words.toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def likely(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose column is in the bit map, and few others: so that a join with a small side need not move all texts."""
+    bits = len(bitmap) * 64
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            place = batch.column(batch.num_columns - 1).to_numpy()
+            hit = (words[place >> 6] >> (place & 63)) & 1
+            kept = batch.filter(pa.array(hit.astype(bool)))
+            if kept.num_rows:
+                yield kept
+
+    placed = df.withColumn("__place", F.pmod(F.xxhash64(column), F.lit(bits)))
+    return placed.mapInArrow(run, placed.schema).drop("__place")

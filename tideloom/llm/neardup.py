@@ -237,9 +237,11 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, n_trees: int =
     # full texts of family members only
     members = families.select(F.col("node").alias("member"), F.col("component").alias("family"))
     placed = members.join(made.select(F.col("row").alias("member"), "doc_id", "set_a", "set_b"), "member")
-    wanted = common.stored(placed, "neardup-members")
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = source.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")))
+    wanted = common.stored(placed.withColumn("wanted_id", F.coalesce("doc_id", F.lit(2**63 - 1))).drop("doc_id"), "neardup-members")
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # a bit map of bounded size tells most other texts before they would be moved
+    source = common.likely(source, "id", common.marked(wanted, "wanted_id"))
+    found = source.join(wanted, F.col("id") == F.col("wanted_id"))
     sets = common.stored(_same_set(found, size), "neardup-texts")
     tasks = blocked(sets.select("family", "member"), "family", family_block).select("task", "member").join(sets.select("member", "text"), "member")
     linked = components(confirmed(tasks, size, percent, agree), "neardup-links")
