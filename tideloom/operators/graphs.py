@@ -181,7 +181,7 @@ def _adjacency(pairs: DataFrame, most_edges: int) -> list[tuple[str, str, float]
 def betweenness(pairs: DataFrame, k: int | None = None, seed: int = 7, by_distance: bool = True, most_edges: int = 2_000_000) -> DataFrame:
     """author_name, betweenness by shortest paths from every author, or from ``k`` seeded ones where there are more.
 
-    Weights count as distances, as in the reference, unless ``by_distance`` is false.  Sources are spread over tasks; each
+    Weights count as distances unless ``by_distance`` is false.  Sources are spread over tasks; each
     runs on a broadcast adjacency whose size is checked first.
     """
     edges = _adjacency(pairs, most_edges)

@@ -122,12 +122,12 @@ class _Plain(Dialect):
 
 
 RAW = ("events", "documents", "embeddings", "pages", "conversations", "labels", "orders", "customer", "nation", "region")
-_bound: dict[tuple[int, str], Tables] = {}
+_bound: dict[tuple[str, str], Tables] = {}
 
 
 def bound_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The community tables over a folder of driver tables, kept in memory for the session."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _bound:
         frames = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in RAW}
         tag = "b" + uuid.uuid4().hex[:12]
