@@ -85,12 +85,24 @@ def segments(data: bytes, bounds: np.ndarray, least: int, seed: int) -> tuple[np
     return starts, ends, anchor[starts], hashes[anchor[starts]]
 
 
-def deal(docs: DataFrame, shards: int, least: int, seed: int) -> DataFrame:
-    """shard, payload: the packed segments of a block of texts for each shard."""
+def deal(docs: DataFrame, shards: int, least: int, seed: int, held_bytes: int = 12_000_000) -> DataFrame:
+    """shard, payload: the packed segments of about ``held_bytes`` of text for each shard."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=1)
-        for table in common.blocks(batches, chars=2_000_000):
+        held: dict[int, list[bytes]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, size
+            numbers, out = sorted(held), []
+            for shard in numbers:
+                whole = b"".join(held.pop(shard))
+                out.append(len(whole).to_bytes(8, "little") + codec.compress(whole, asbytes=True))
+            held, size = {}, 0
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(out, pa.binary())], names=["shard", "payload"])
+
+        for table in common.blocks(batches, chars=1_500_000):
             texts = [t.encode("utf-8", "replace") for t in common.texts_of(table)]
             bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
             data = b"".join(texts)
@@ -103,15 +115,17 @@ def deal(docs: DataFrame, shards: int, least: int, seed: int) -> DataFrame:
             order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
             found, first = np.unique(shard[order], return_index=True)
             text = np.searchsorted(bounds, starts, "right") - 1
-            out = []
-            for own in np.split(order, first[1:]):
+            for number, own in zip(found.tolist(), np.split(order, first[1:])):
                 s, e = starts[own], ends[own]
                 local = np.unique(text[own])
-                parts = [np.array([len(own), len(local)], "<u4").tobytes(), np.diff(s, prepend=0).astype("<u4").tobytes(), (anchors[own] - s).astype("<u2").tobytes(), (e - s).astype("<u2").tobytes(), ids[local].astype("<i8").tobytes(), keys[local].astype("<i8").tobytes(), bounds[local].astype("<u4").tobytes()]
+                parts = [np.array([len(own), len(local), (e - s).sum()], "<u4").tobytes(), np.diff(s, prepend=0).astype("<u4").tobytes(), (anchors[own] - s).astype("<u2").tobytes(), (e - s).astype("<u2").tobytes(), ids[local].astype("<i8").tobytes(), keys[local].astype("<i8").tobytes(), bounds[local].astype("<u4").tobytes()]
                 parts += [data[a:b] for a, b in zip(s.tolist(), e.tolist())]
-                whole = b"".join(parts)
-                out.append(len(whole).to_bytes(8, "little") + codec.compress(whole, asbytes=True))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(out, pa.binary())], names=["shard", "payload"])
+                held.setdefault(number, []).append(b"".join(parts))
+            size += len(data)
+            if size >= held_bytes:  # larger parcels pack better
+                yield flush()
+        if held:
+            yield flush()
 
     source = docs.select("doc_id", "key", "text").filter(F.octet_length("text") >= least)
     return source.mapInArrow(run, "shard long, payload binary")
@@ -124,19 +138,23 @@ def _unpack(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     bodies = []
     for raw in payloads:
         data = codec.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), asbytes=True)
-        n, m = np.frombuffer(data, "<u4", 2).tolist()
-        at = 8
-        start = np.cumsum(np.frombuffer(data, "<u4", n, at).astype(np.int64))
-        offset = np.frombuffer(data, "<u2", n, at + 4 * n)
-        length = np.frombuffer(data, "<u2", n, at + 6 * n)
-        at += 8 * n
-        ids = np.frombuffer(data, "<i8", m, at)
-        keys = np.frombuffer(data, "<i8", m, at + 8 * m)
-        begin = np.frombuffer(data, "<u4", m, at + 16 * m).astype(np.int64)
-        bodies.append(data[at + 20 * m :])
-        which = np.searchsorted(begin, start, "right") - 1
-        for col, own in zip(cols, (ids[which], keys[which], start - begin[which], offset, length)):
-            col.append(own)
+        at = 0
+        while at < len(data):
+            n, m, size = np.frombuffer(data, "<u4", 3, at).tolist()
+            at += 12
+            start = np.cumsum(np.frombuffer(data, "<u4", n, at).astype(np.int64))
+            offset = np.frombuffer(data, "<u2", n, at + 4 * n)
+            length = np.frombuffer(data, "<u2", n, at + 6 * n)
+            at += 8 * n
+            ids = np.frombuffer(data, "<i8", m, at)
+            keys = np.frombuffer(data, "<i8", m, at + 8 * m)
+            begin = np.frombuffer(data, "<u4", m, at + 16 * m).astype(np.int64)
+            at += 20 * m
+            bodies.append(data[at : at + size])
+            at += size
+            which = np.searchsorted(begin, start, "right") - 1
+            for col, own in zip(cols, (ids[which], keys[which], start - begin[which], offset, length)):
+                col.append(own)
     return *(np.concatenate(c) for c in cols), b"".join(bodies)
 
 
