@@ -8,8 +8,10 @@ that one job leaves for another is written there.  Files are opened through :fun
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -44,6 +46,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, seconds: float = 3.0) -> None:
+    """Let Spark drop the shuffle files of finished jobs that nothing refers to any more; it does so in the background."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(seconds / 2)
+
+
 def _local(path: str) -> str | None:
     if path.startswith("file:"):
         return "/" + path[5:].lstrip("/")

@@ -269,7 +269,7 @@ def _with_spans(docs: DataFrame, least: int, seed: int, shard_bytes: int) -> Dat
     found = judge(deal(source, shards, least, seed), least, seed).groupBy("doc_id", "key").agg(F.collect_list("spans").alias("__spans"))
     stored = common.stored(found, "repeat-spans")
     del found
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the dealt segments' shuffle files before the join
+    common.release(docs.sparkSession)  # the dealt segments' shuffle files go before texts are moved
     found = stored.select(F.col("doc_id").alias("__id2"), F.col("key").alias("__key2"), "__spans")
     return docs.join(found, (F.col("__id") == F.col("__id2")) & (F.col("__key") == F.col("__key2")), "left").drop("__id2", "__key2")
 
