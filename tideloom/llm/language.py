@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS = 21
+#: Characters whose n-grams a worker holds at once.
+BLOCK_CHARS = 1_000_000
 UND = "und"
 _letters: np.ndarray | None = None
 
@@ -48,20 +49,19 @@ class Block:
         seen = np.zeros(0x110000, bool)
         seen[chars[letter]] = True
         self.alphabet = np.flatnonzero(seen)  # code 0 is the blank
-        code = np.zeros(0x110000, np.int64)
+        code = np.zeros(0x110000, np.uint32)
         code[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
         self.code = code
         self.bits = max(1, int(len(self.alphabet)).bit_length())
         kind = np.uint32 if 3 * self.bits + 2 <= 32 else np.uint64
-        coded = np.where(letter, code[chars], 0)
         blank = ~letter
-        keep = np.ones(len(coded), bool)
+        keep = np.ones(len(chars), bool)
         keep[1:] = ~(blank[1:] & blank[:-1])
         starts = np.concatenate([[0], ends[:-1]])
         keep[starts[starts < len(keep)]] |= blank[starts[starts < len(keep)]]
         before = np.concatenate([[0], np.cumsum(keep)])
         self.bounds = before[np.concatenate([[0], ends])]
-        self.codes = coded[keep].astype(kind)
+        self.codes = code[chars[keep]].astype(kind)  # what is no letter has code 0
 
     def grams(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted n-grams of text ``i`` and their counts."""
@@ -121,7 +121,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[int, int]] = {}
-        for table in common.blocks(batches):
+        for table in common.blocks(batches, chars=BLOCK_CHARS):
             langs = table.column("lang").to_pylist()
             block = Block(common.texts_of(table))
             parts: dict[str, list] = {}
@@ -200,13 +200,15 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str] |
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(profiles, text_size, profile_size)
-        for table in common.blocks(batches, "__text"):
-            found = list(judge.judge(common.texts_of(table, "__text")))
-            table = table.drop_columns(["__text"])
+        for table in common.blocks(batches, column, BLOCK_CHARS):
+            found = list(judge.judge(common.texts_of(table, column)))
+            if column == "__text":
+                table = table.drop_columns(["__text"])
             table = table.append_column("lang_pred", pa.array([f[0] for f in found], pa.string())).append_column("score", pa.array([f[1] for f in found], pa.float64()))
             yield from table.to_batches()
 
-    source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    column = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "__text"  # one copy of the texts is enough
+    source = docs.select(*keep) if column == "text" else docs.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
     return source.mapInArrow(run, schema + ", lang_pred string, score double")
 

@@ -74,12 +74,12 @@ class WordBpe:
         return b"".join(out)
 
 
-_encoders: dict[str, WordBpe] = {}
+_encoders: dict[tuple[str, int], WordBpe] = {}
 
 
-def encoder(path: str) -> WordBpe:
-    """One encoder for each vocabulary and worker process."""
-    if path not in _encoders:
+def encoder(path: str, memo_size: int = 900_000) -> WordBpe:
+    """One encoder for each vocabulary and worker process.  A memo entry takes about 250 bytes."""
+    if (path, memo_size) not in _encoders:
         gc.disable()  # the memo holds no cycles; scanning it again and again would cost more than the encoding
-        _encoders[path] = WordBpe(path)
-    return _encoders[path]
+        _encoders[path, memo_size] = WordBpe(path, memo_size)
+    return _encoders[path, memo_size]
