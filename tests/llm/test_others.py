@@ -8,6 +8,7 @@ from array import array
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tideloom.llm import byte_bpe, exact_dedup, fertility, language, packing, token_blocks, toxicity, warc
@@ -172,6 +173,15 @@ def test_fertility(spark):
     assert sum(got[d]["kept"] for d in bad) < 0.4 * len(bad)
 
 
+def test_fertility_rejects_in_every_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    got = fertility.quality(docs, public_tokenizers.path("piece_bpe_32k.model")).filter("not base_failed")
+    rows = got.join(labels.select("doc_id", "quality").distinct(), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    kept = {(r["lang"], r["quality"]): r["share"] for r in rows.groupBy("lang", "quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert {lang for lang, _ in kept} == {"de", "en", "es", "fr"}
+    assert all(share > 0.98 if quality else share < 0.3 for (_, quality), share in kept.items())
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")

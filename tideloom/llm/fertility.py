@@ -4,10 +4,12 @@ Base rules count words, symbols, repeated lines and repeated three-word windows.
 every word with a public piece vocabulary and measures, over the whole text: characters per token,
 share of byte-fallback tokens, and entropy of the token distribution (relative to its maximum for the
 text's length).  For each language (column ``lang``, or the script where it is null or missing), all texts that pass
-the base rules give the quartiles of each measure; a text farther from the median than ``reach`` quartile
-distances is rejected, with more room for texts shorter than the group's median length, whose measures vary more.  The
-bands are computed over the whole table by mergeable quantile summaries, one row per group; groups of fewer than
-``least_group`` texts have no bands.
+the base rules give what is usual: the median of the first two measures, and a line of entropy over the logarithm of the
+number of tokens, with which it falls.  Distances from the usual, shortened for texts below the group's median length,
+whose measures vary more, have quartiles; a text farther from the median distance than ``reach`` quartile distances is
+rejected, and one whose entropy lies more than ``least_entropy`` of them below (symbol junk and lists repeat their
+tokens; clean texts stray upwards rather than downwards).  Lines and bands are computed over the whole table by mergeable
+sums and quantile summaries, one row per group; groups of fewer than ``least_group`` texts have no bands.
 
 Defined cases: null and empty texts have no words and fail the base rules; a text without letters belongs to
 the script ``Zyyy``; repeated rows are judged each; an empty table gives no row; other columns are ignored.
@@ -29,6 +31,8 @@ from . import common
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
+#: Distances of short texts are not shortened below this share: that of texts of a quarter of the median length.
+LEAST_SCALE = 0.5
 COLUMNS = "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, fallback_share double, token_entropy double"
 
 #: First code points of letter ranges and the script that starts there (a coarse table of Unicode blocks).
@@ -151,27 +155,52 @@ def measures(docs: DataFrame, vocabulary: str) -> DataFrame:
     return source.mapInArrow(run, COLUMNS)
 
 
+def trends(measured: DataFrame) -> DataFrame:
+    """One row per group: its median length, the medians of two measures, and the line of entropy over the logarithm of the number of tokens."""
+    entropy, tokens = F.col("token_entropy"), F.log(F.col("word_chars") / F.col("chars_per_token"))
+    slope = F.coalesce(F.regr_slope(entropy, tokens), F.lit(0.0))
+    middle = [F.percentile_approx(m, 0.5, 10000).alias(f"usual_{m}") for m in ("n_words", *MEASURES[:2])]
+    found = measured.filter("not base_failed").groupBy("group").agg(F.count("*").alias("n"), *middle, F.round(slope, 6).alias("slope"), F.round(F.avg(entropy) - slope * F.avg(tokens), 6).alias("start"))
+    return found.withColumnRenamed("group", "trend_group")
+
+
+def distances(measured: DataFrame, trend: DataFrame) -> DataFrame:
+    """Adds the distance of each measure from what is usual for the group (and the length), on the scale of the group's median length.
+
+    Measures of n words vary as 1 / sqrt(n), so the distances of shorter texts are shortened before the quartiles are
+    taken; by ``LEAST_SCALE`` at most.
+    """
+    out = measured.join(F.broadcast(trend), F.col("group") == F.col("trend_group"), "left")
+    scale = F.greatest(F.lit(LEAST_SCALE), F.sqrt(F.least(F.lit(1.0), F.col("n_words") / F.col("usual_n_words"))))
+    usual = {m: F.col(f"usual_{m}") for m in MEASURES[:2]} | {"token_entropy": F.col("start") + F.col("slope") * F.log(F.col("word_chars") / F.col("chars_per_token"))}
+    for m in MEASURES:
+        out = out.withColumn(f"off_{m}", (F.col(m) - usual[m]) * scale)
+    return out
+
+
 def bands(measured: DataFrame, least_group: int) -> DataFrame:
-    """One row per group: its median length, and median and quartile distances of each measure."""
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(m) for m in ("n_words", *MEASURES)]
-    found = measured.filter("not base_failed").groupBy("group").agg(F.count("*").alias("n"), *quartiles).filter(F.col("n") >= least_group)
-    out = [F.col("group").alias("band_group"), F.col("n_words")[1].alias("usual_words")]
+    """One row per group: median and quartile distances of each measure's distance from the usual."""
+    quartiles = [F.percentile_approx(f"off_{m}", [0.25, 0.5, 0.75], 10000).alias(m) for m in MEASURES]
+    found = measured.filter("not base_failed").groupBy("group").agg(F.count("*").alias("n_band"), *[F.first(f"usual_{m}").alias(f"usual_{m}") for m in MEASURES[:2]], *quartiles).filter(F.col("n_band") >= least_group)
+    out = [F.col("group").alias("band_group")]
     for m in MEASURES:
         low, mid, high = (F.col(m)[k] for k in range(3))
         # half a hundredth of the median at least: a near-constant measure must not reject all but its commonest value
-        out += [mid.alias(f"mid_{m}"), F.greatest(mid - low, mid * 0.005).alias(f"below_{m}"), F.greatest(high - mid, mid * 0.005).alias(f"above_{m}")]
+        least = F.col(f"usual_{m}") * 0.005 if m in MEASURES[:2] else F.lit(0.0)
+        out += [mid.alias(f"mid_{m}"), F.greatest(mid - low, least).alias(f"below_{m}"), F.greatest(high - mid, least).alias(f"above_{m}")]
     return found.select(*out)
 
 
-def quality(docs: DataFrame, vocabulary: str, reach: float = 6.0, margin: float = 0.005, least_group: int = 100) -> DataFrame:
+def quality(docs: DataFrame, vocabulary: str, reach: float = 6.0, least_entropy: float = 4.0, margin: float = 0.005, least_group: int = 100) -> DataFrame:
     """The measures of every row with base_failed and kept."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     grouped = measures(docs, vocabulary).withColumn("base_failed", failed).withColumn("group", F.coalesce("lang", "script"))
     measured = common.stored(grouped, "quality-measures")
-    room = reach * F.sqrt(F.greatest(F.lit(1.0), F.col("usual_words") / F.greatest(F.col("n_words"), F.lit(1))))
+    placed = distances(measured, trends(measured))
     inside = F.lit(True)
     for m in MEASURES:
-        low, high = F.col(f"mid_{m}") - room * F.col(f"below_{m}") - margin, F.col(f"mid_{m}") + room * F.col(f"above_{m}") + margin
-        inside &= F.coalesce(F.col(m).between(low, high), F.lit(True))
-    judged = measured.join(bands(measured, least_group), F.col("group") == F.col("band_group"), "left")
+        down = least_entropy if m == "token_entropy" else reach
+        low, high = F.col(f"mid_{m}") - down * F.col(f"below_{m}") - margin, F.col(f"mid_{m}") + reach * F.col(f"above_{m}") + margin
+        inside &= F.coalesce(F.col(f"off_{m}").between(low, high), F.lit(True))
+    judged = placed.join(F.broadcast(bands(placed, least_group)), F.col("group") == F.col("band_group"), "left")
     return judged.withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", *MEASURES)
