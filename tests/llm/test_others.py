@@ -196,6 +196,23 @@ def test_toxicity(spark):
     assert all(not set(r["evidence"]) & set(held) for r in got.values())
 
 
+def test_scores_keep_the_class_mix_of_all_labels(spark):
+    # 600 clean and 100 toxic rows; all toxic texts and one in six clean ones hold the term, so half the texts with it are toxic
+    rows = [(i, "grumble words" if i < 200 else "plain words", int(i < 100)) for i in range(700)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    whole, cut = toxicity.fit(docs, labels), toxicity.fit(docs, labels, max_examples=70)
+    assert abs(whole.score("grumble words")[0] - cut.score("grumble words")[0]) < 0.2
+    assert toxicity.fit(docs, labels, max_examples=70).base < 0.05
+    weights = {r["toxic"]: r["weight"] for r in toxicity.sample_labels(labels, 70).collect()}
+    usable = [t for i, _, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert weights == {0: max(1.0, usable.count(0) / 70), 1: max(1.0, usable.count(1) / 70)}
+    terms = {"grumble": 1.0}
+    one = np.zeros(1, np.int64), np.ones(1)
+    examples = [(i, int(i < 10), *one) for i in range(20)]
+    even, weighted = toxicity.Voter(terms, examples, 20, 2.0), toxicity.Voter(terms, examples, 20, 2.0, (9.0, 1.0))
+    assert even.vote(*one)[0] > 0.45 and weighted.vote(*one)[0] < 0.12
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(4)
     vectors = []

@@ -10,7 +10,8 @@ votes are smoothed by the rate of texts that share no term with any example, and
 score by a monotone fit on the labelled sample (leaving each example out of its own vote).
 
 The labelled sample is bounded: at most ``max_examples`` rows of each class, taken in the order of a hash of doc_id.
-That is the proven bound of what is broadcast.  Every row is scored, by its whole text.
+That is the proven bound of what is broadcast.  Votes, base rate and calibration weigh each example by its class's
+labelled rows over its examples, so that they keep the class mix of all labels.  Every row is scored, by its whole text.
 
 Defined cases: null, empty and term-free texts get the rate of toxic texts among the examples without a
 term; ties of cosine go to the smaller example id; repeated rows are scored each; with no labelled
@@ -47,10 +48,15 @@ def features(text: str) -> Counter[str]:
 
 
 def sample_labels(labels: DataFrame, max_examples: int) -> DataFrame:
-    """doc_id and toxic of at most ``max_examples`` rows of each class that are not held out."""
+    """doc_id, toxic and weight of at most ``max_examples`` rows of each class that are not held out.
+
+    The weight of a row is the number of usable rows of its class over the number taken.
+    """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    return usable.filter("toxic = 1").orderBy(*order).limit(max_examples).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(max_examples))
+    taken = usable.filter("toxic = 1").orderBy(*order).limit(max_examples).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(max_examples))
+    sizes = usable.groupBy(F.col("toxic").alias("kind")).agg((F.greatest(F.count("*"), F.lit(max_examples)) / F.lit(max_examples)).alias("weight"))
+    return taken.join(F.broadcast(sizes), F.col("toxic") == F.col("kind")).select("doc_id", "toxic", "weight")
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
@@ -194,26 +200,27 @@ def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Voter:
     """A fitted model: terms, index, labels and calibration.  Its size is bounded by the sample's."""
 
-    def __init__(self, terms: dict[str, float], examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int, power: float):
+    def __init__(self, terms: dict[str, float], examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int, power: float, class_weights: tuple[float, float] = (1.0, 1.0)):
         self.vectors = Vectors(terms)
         self.k, self.power = k, power
-        without = [toxic for _, toxic, ids, _ in examples if not len(ids)]
-        # clean examples are drawn as often as toxic ones or less; the rate without a term stays that of the sample
-        self.base = (sum(without) + 0.5) / (len(without) + 1) if examples else 0.0
+        # an example stands for as many labelled rows of its class as its weight (clean, toxic) says
+        without = [(toxic, class_weights[toxic]) for _, toxic, ids, _ in examples if not len(ids)]
+        self.base = (sum(t * w for t, w in without) + 0.5) / (sum(w for _, w in without) + 1) if examples else 0.0
         held = [e for e in examples if len(e[2])]
         self.ids = [e[0] for e in held]
         self.labels = np.array([e[1] for e in held], np.float64)
+        self.stands_for = np.array([class_weights[e[1]] for e in held], np.float64)
         self.index = BlockMaxIndex(len(terms), [(e[2], e[3]) for e in held])
         self.knots, self.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         if held:
             raw = np.array([self.vote(e[2], e[3], i)[0] for i, e in enumerate(held)])
-            self.knots, self.values = monotone(raw, self.labels)
+            self.knots, self.values = monotone(raw, self.labels, self.stands_for)
 
     def vote(self, ids: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         no, cosine = self.index.nearest(ids, weights, self.k, skip)
         if not len(no):
             return self.base, no, cosine
-        by = np.maximum(cosine, 1e-9) ** self.power
+        by = np.maximum(cosine, 1e-9) ** self.power * self.stands_for[no]
         prior = 0.05
         return float((by @ self.labels[no] + prior * self.base) / (by.sum() + prior)), no, cosine
 
@@ -227,12 +234,12 @@ class Voter:
         return min(1.0, max(0.0, value)), [self.ids[i] for i in no[:3]], cosine[:3].tolist()
 
 
-def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators fit of y on x: knots and rising values."""
+def monotone(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators fit of weighted y on x: knots and rising values."""
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []  # weight, mean of y, mean of x
-    for a, b in zip(x[order].tolist(), y[order].tolist()):
-        pools.append([1.0, b, a])
+    for a, b, by in zip(x[order].tolist(), y[order].tolist(), weights[order].tolist()):
+        pools.append([by, b, a])
         while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
             w, m, c = pools.pop()
             v = pools[-1]
@@ -245,10 +252,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 10_000, n_featur
     """Fit on the bounded sample of labelled rows."""
     chosen = common.stored(sample_labels(labels, max_examples), "toxicity-labels")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # at most 2 * max_examples rows of two numbers
+    # at most 2 * max_examples rows of three numbers
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = common.stored(joined, "toxicity-sample")
-    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    found = sample.groupBy("toxic").agg(F.count("*").alias("n"), F.max("weight").alias("weight")).collect()
+    n, weight = {r["toxic"]: r["n"] for r in found}, {r["toxic"]: r["weight"] for r in found}
     terms = choose_terms(term_counts(sample), n.get(1, 0), n.get(0, 0), n_features, least_texts, least_gain) if n.get(1) and n.get(0) else {}
     vectors = Vectors(terms)
 
@@ -262,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 10_000, n_featur
 
     rows = sample.mapInArrow(vectorise, "doc_id long, toxic int, ids array<long>, weights array<double>").collect()
     examples = sorted(((r["doc_id"], r["toxic"], np.array(r["ids"], np.int64), np.array(r["weights"])) for r in rows), key=lambda e: e[0])
-    return Voter(terms, examples, k, power)
+    return Voter(terms, examples, k, power, (weight.get(0, 1.0), weight.get(1, 1.0)))
 
 
 def score(docs: DataFrame, voter: Voter) -> DataFrame:
