@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
-from tideloom.operators import graphs
+from tideloom import queries
+from tideloom.operators import detectors, graphs
 from tideloom.plans.registry import OPERATORS, Engine, doubles, oracle
 from tideloom.tables import Tables, bound_tables
 
@@ -124,3 +125,16 @@ def test_trending_needs_a_positive_past(spark):
     posts = [(i, "t", "c", who, "k", up, 0, at(h)) for i, (who, up, h) in enumerate([("a", 2, 38), ("a", 9, 44), ("a", 9, 45), ("z", 0, 38), ("z", 9, 44), ("z", 9, 45)])]
     got = Engine(community(spark, posts, []), at(47).isoformat(" ")).run("ag_trending").collect()
     assert [(r["author_name"], r["growth_percent"]) for r in got] == [("a", 350.0)]
+
+
+def test_topics_are_learned_from_all_authors(spark, monkeypatch):
+    used = []
+
+    class Spy(detectors.LDA):
+        def fit(self, rows):
+            used.append((self.getMaxIter(), self.getSubsamplingRate()))
+            return super().fit(rows)
+
+    monkeypatch.setattr(detectors, "LDA", Spy)
+    got = queries.mx_topic(spark, SF).groupBy("author_name").sum("share").collect()
+    assert used == [(10, 1.0)] and got and all(abs(r[1] - 1) < 1e-6 for r in got)

@@ -202,7 +202,7 @@ def latest_fingerprints(history: DataFrame) -> DataFrame:
 
 
 def topic_matrix(engine: Engine, topics: int = 20, vocabulary: int = 5000, iterations: int = 10) -> DataFrame:
-    """author_name, topic, label (three top words), share: LDA over each author's texts; too few authors give no rows."""
+    """author_name, topic, label (three top words), share: LDA over each author's texts, all of them in each iteration; too few authors give no rows."""
     texts = engine.tables["activity"].filter("content is not null and author_name is not null").groupBy("author_name").agg(F.array_join(F.collect_list("content"), " ").alias("text"))
     words = StopWordsRemover(inputCol="all", outputCol="words").transform(RegexTokenizer(inputCol="text", outputCol="all", pattern=r"[^\p{L}]+", minTokenLength=2).transform(texts))
     words = stored(words.select("author_name", "words"), "topic-words")
@@ -211,7 +211,7 @@ def topic_matrix(engine: Engine, topics: int = 20, vocabulary: int = 5000, itera
         return engine.spark.createDataFrame([], "author_name string, topic int, label string, share double")
     counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=min(2.0, n), maxDF=max(0.95, 2.0 / n)).fit(words)
     rows = counts.transform(words)
-    model = LDA(k=topics, maxIter=iterations, seed=42, optimizer="online").fit(rows)
+    model = LDA(k=topics, maxIter=iterations, seed=42, optimizer="online", subsamplingRate=1.0).fit(rows)
     terms = counts.vocabulary
     labels = {r["topic"]: "_".join(terms[i] for i in r["termIndices"]) for r in model.describeTopics(3).collect()}
     label = F.element_at(F.array(*[F.lit(labels[t]) for t in range(topics)]), F.col("topic") + 1)

@@ -286,7 +286,7 @@ def vx_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mx_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.topic_matrix(_engine(spark, sf_dir), iterations=3)
+    return detectors.topic_matrix(_engine(spark, sf_dir))
 
 
 def mx_row_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
