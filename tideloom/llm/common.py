@@ -8,12 +8,12 @@ that one job leaves for another is written there.  Files are opened through :fun
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
-import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +46,6 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, seconds: float = 3.0) -> None:
-    """Let Spark drop the shuffle files of finished jobs that nothing refers to any more; it does so in the background."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(seconds / 2)
-
-
 def _local(path: str) -> str | None:
     if path.startswith("file:"):
         return "/" + path[5:].lstrip("/")
@@ -83,6 +75,63 @@ def open_in(path: str):
     return store.open_input_file(inner)
 
 
+def write_file(path: str, content: bytes) -> None:
+    """Write a whole file; on a file system a reader meets all of it or nothing, also when two attempts of a task write it."""
+    local = _local(path)
+    if not local:
+        with open_out(path) as f:
+            f.write(content)
+        return
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    draft = f"{local}.{uuid.uuid4().hex}"
+    with open(draft, "wb") as f:
+        f.write(content)
+    os.replace(draft, local)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` does not have, one for each of ``names``."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def replayable(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` itself where it only scans files, so that every reading gives the same rows in the same order; else stored first."""
+    kinds = {line.lstrip(" +-:").split(" ")[0].split("(")[0] for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip()}
+    return df if kinds <= {"Project", "Relation", "RelationV2", "LogicalRelation"} else stored(df, tag)
+
+
+def tidied(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker, which serves other tasks too, gives its free memory back."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return whole
+
+
+def text_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, one after the other, and where each begins, with the end; null counts as empty."""
+    array = pc.fill_null(pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type), "").cast(pa.binary()).cast(pa.large_binary())
+    places = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
+    data = np.frombuffer(array.buffers()[2] or b"", np.uint8)[places[0] : places[-1]]
+    return data, places - places[0]
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = BLOCK_CHARS) -> Iterator[pa.Table]:
     """Cut or join Arrow batches into tables whose ``text`` column has about ``chars`` bytes at most.
 

@@ -27,16 +27,24 @@ class Store:
     """Arrays in memory-mapped files that go with the store; arrays under ``least`` bytes stay in memory."""
 
     def __init__(self, folder: str | None = None, least: int = 64_000_000):
-        self.folder = folder or tempfile.mkdtemp(prefix="induced-")
+        # where Spark itself spills; task scratch that no other task reads
+        self.folder = folder or tempfile.mkdtemp(prefix="induced-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
         self.own = folder is None
         self.least = least
-        self.names: list[str] = []
+        self.n_files = 0
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     def array(self, n: int, kind: type) -> np.ndarray:
         if n * np.dtype(kind).itemsize < self.least:
             return np.empty(n, kind)
         name = os.path.join(self.folder, uuid.uuid4().hex)
         out = np.memmap(name, kind, "w+", shape=(n,))
+        self.n_files += 1
         os.unlink(name)  # the mapping keeps the file; nothing is left behind
         return out
 
