@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from tideloom.llm.induced import suffix_order
+from tideloom.llm.induced import Store, suffix_order
 from tideloom.llm.substring_dedup import merge, remove_repeats, repeats
 
 
@@ -33,6 +33,16 @@ def test_suffix_order(in_memory):
         assert (order.tolist(), shared.tolist()) == sorted_suffixes(text, 50)
 
 
+def test_suffix_order_with_queues_in_files_and_recursion():
+    rng = np.random.default_rng(5)
+    piece = rng.integers(0, 4, 3000)
+    text = np.concatenate([rng.integers(0, 4, 4000), piece, rng.integers(0, 4, 500), piece, piece[100:2000]]).astype(np.uint8)
+    with Store(least=1) as store:
+        order, shared = suffix_order(text, 50, store, in_memory=50)
+        assert store.n_files >= 9  # three arrays of each of three levels of the recursion, or more
+        assert (np.asarray(order).tolist(), np.asarray(shared).tolist()) == sorted_suffixes(text.tolist(), 50)
+
+
 def test_merge():
     assert merge(np.array([[0, 5], [3, 4], [5, 9], [12, 14]])).tolist() == [[0, 9], [12, 14]]
 
@@ -59,10 +69,20 @@ def brute(rows, least=50):
 def test_whole_small_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    found = {r["doc_id"]: tuple(r)[1:] for r in repeats(docs, shard_bytes=500_000).collect()}
+    # many parcels and shards, all queues in files
+    found = {r["doc_id"]: tuple(r)[1:] for r in repeats(docs, parcel_bytes=300_000, side_hashes=50_000, shard_bytes=200_000, queue_bytes=1).collect()}
     assert found == brute(rows)
 
 
+def test_long_text_in_stretches(spark):
+    rng = np.random.default_rng(7)
+    long = "".join(map(chr, rng.integers(97, 123, 2_500_000)))
+    rows = [(1, "x" * 30 + long[1_048_500:1_048_700] + "y" * 30), (2, long), (3, long[2_499_900:] + "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in repeats(docs, parcel_bytes=1000).collect()}
+    assert found == {1: (0, 0), 2: (200, 1), 3: (100, 1)}
+
+
 def test_odd_rows(spark):
     a, b = "".join(chr(97 + i * 7 % 26) for i in range(30)) + "é" * 40, "".join(chr(48 + i * i % 75) for i in range(60))
     rows = [(1, None, "x"), (2, "", "x"), (3, a, None), (4, "zz" + a + "yy", "x"), (5, b * 3, "x"), (5, b * 3, "x"), (None, b, "x"), (7, "q" * 30_000, "x"), (8, "q" * 200, "x"), (9, a[:49], "x")]
@@ -74,3 +94,20 @@ def test_odd_rows(spark):
     assert cut.columns == docs.columns
     texts = {(r["doc_id"], r["text"]) for r in cut.collect()}
     assert (1, None) in texts and (4, "zzyy") in texts and (8, "") in texts and (5, b * 3) in texts
+
+
+def test_columns_of_any_name(spark):
+    a = "".join(chr(97 + i * 7 % 26) for i in range(30)) * 2
+    rows = [(1, a, 1, "p", [1], 0.5), (2, "b" + a, 2, "q", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long, __id string, spans array<int>, parcel double")
+    cut = remove_repeats(docs)
+    assert cut.schema == docs.schema
+    assert sorted(map(tuple, cut.collect())) == [rows[0], (2, "b", 2, "q", None, None)]
+
+
+def test_input_that_is_no_scan_is_stored_first(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    dealt = docs.repartition(7).filter("doc_id % 3 > 0")
+    rows = [(r["doc_id"], r["text"]) for r in dealt.select("doc_id", "text").collect()]
+    found = {r["doc_id"]: tuple(r)[1:] for r in repeats(dealt, parcel_bytes=100_000).collect()}
+    assert found == brute(rows)

@@ -20,13 +20,14 @@ import uuid
 
 import numpy as np
 
-IN_MEMORY = 500_000
+#: Strings of names of at most this length are the recursion's base case.
+IN_MEMORY = 1_000_000
 
 
 class Store:
     """Arrays in memory-mapped files that go with the store; arrays under ``least`` bytes stay in memory."""
 
-    def __init__(self, folder: str | None = None, least: int = 64_000_000):
+    def __init__(self, folder: str | None = None, least: int = 1_000_000):
         # where Spark itself spills; task scratch that no other task reads
         self.folder = folder or tempfile.mkdtemp(prefix="induced-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
         self.own = folder is None
@@ -87,26 +88,27 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray, c
 def _doubling(names: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """Order and common prefixes of a short string of names, by prefix doubling."""
     n = len(names)
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64) + 1
+    rank = names.astype(np.int64) + 1  # dense
     width = 1
-    levels = [rank]  # ranks by the first 1, 2, 4, ... names
+    levels = [rank.astype(np.int32)]  # ranks by the first 1, 2, 4, ... names
     while True:
         ahead = np.zeros(n, np.int64)
         ahead[: max(0, n - width)] = rank[width:]
-        order = np.argsort(rank * (n + 2) + ahead, kind="stable")
-        key = (rank * (n + 2) + ahead)[order]
+        key = rank * (n + 2) + ahead
+        order = np.argsort(key)  # ties are ranked alike, so any order of them will do
+        key = key[order]
         new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) + 1
         rank = np.empty(n, np.int64)
         rank[order] = new
         width *= 2
         if width <= 2 * cap:
-            levels.append(rank)
+            levels.append(rank.astype(np.int32))
         if new[-1] == n or width >= n:
             break
     lcp = np.zeros(n, np.int64)
     a, b = order[:-1].copy(), order[1:].copy()
     for k in reversed(range(len(levels))):
-        level = np.append(levels[k], [-1])
+        level = np.append(levels[k], np.int32(-1))
         # equal ranks mean equal names as far as both go; near the end they must not reach past it
         inside = (a + (1 << k) <= n) & (b + (1 << k) <= n)
         same = inside & (level[np.minimum(a, n)] == level[np.minimum(b, n)])
@@ -163,7 +165,9 @@ def _names(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, sigma: int) -
         sizes = np.bincount(run)
         more = np.bincount(run, weights=longer) > 0
         todo = rows[((sizes > 1) & more)[run]]
-    return np.unique(name, return_inverse=True)[1].astype(np.int64)
+    used = np.zeros(m, bool)
+    used[name] = True
+    return (np.cumsum(used) - 1)[name]
 
 
 def _scan(text: np.ndarray, store: Store, rising: bool, is_s: np.ndarray, counts: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray, seed_bounds: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +185,8 @@ def _scan(text: np.ndarray, store: Store, rising: bool, is_s: np.ndarray, counts
     head = bounds[:-1].copy()  # by slot
     n = len(text)
     queue, prefix = store.array(int(bounds[-1]), np.int32 if n < 2**31 - 1 else np.int64), store.array(int(bounds[-1]), np.int16)
-    narrow = np.uint16 if sigma < 1 << 16 else np.int64
+    narrow = np.uint8 if sigma <= 1 << 8 else np.uint16 if sigma <= 1 << 16 else np.int64  # radix sorts up to 16 bits
+    depth_kind = prefix.dtype
     if rising:  # the empty suffix comes first and puts the last symbol
         s = slot[text[n - 1]]
         queue[head[s]], prefix[head[s]] = n - 1, 0
@@ -197,7 +202,7 @@ def _scan(text: np.ndarray, store: Store, rising: bool, is_s: np.ndarray, counts
         other = target != own
         at, left, target = at[other], left[other], target[other]
         if len(at):
-            by = np.argsort(target.astype(narrow), kind="stable")  # a radix sort for 16 bits
+            by = np.argsort(target.astype(narrow), kind="stable")
             _append(at[by], left[by], target[by], lcp)
 
     def _append(at: np.ndarray, left: np.ndarray, target: np.ndarray, lcp: np.ndarray) -> None:
@@ -206,7 +211,7 @@ def _scan(text: np.ndarray, store: Store, rising: bool, is_s: np.ndarray, counts
         index = np.arange(len(at))
         begin = np.maximum.accumulate(np.where(new, index, 0))
         where = head[target] + index - begin
-        value = np.empty(len(at), np.int64)
+        value = np.empty(len(at), depth_kind)
         inner = np.flatnonzero(~new)
         if len(inner):
             value[inner] = 1 + _least_between(lcp, at[inner - 1] + 1, at[inner] + 1)
@@ -228,17 +233,17 @@ def _scan(text: np.ndarray, store: Store, rising: bool, is_s: np.ndarray, counts
             at, left = at[take], left[take]
             if not len(at):
                 break
-            value = np.empty(len(at), np.int64)
-            value[0] = depth
+            value = np.empty(len(at), depth_kind)
+            value[0] = min(depth, cap)
             if len(at) > 1:
-                value[1:] = 1 + _least_between(np.asarray(prefix[lo:hi]).astype(np.int64), at[:-1] + 1, at[1:] + 1)
+                value[1:] = 1 + _least_between(np.asarray(prefix[lo:hi]), at[:-1] + 1, at[1:] + 1)
             queue[hi : hi + len(at)] = left
             prefix[hi : hi + len(at)] = np.minimum(value, cap)
             lo, hi, depth = hi, hi + len(at), depth + 1
         head[s] = max(hi, int(head[s]))
-        own, own_lcp = np.asarray(queue[bounds[s] : head[s]]), np.asarray(prefix[bounds[s] : head[s]]).astype(np.int64)
+        own, own_lcp = np.asarray(queue[bounds[s] : head[s]]), np.asarray(prefix[bounds[s] : head[s]])
         a, b = int(seed_bounds[s]), int(seed_bounds[s + 1])
-        more, more_lcp = np.asarray(seeds[a:b]), np.asarray(seed_lcp[a:b]).astype(np.int64)
+        more, more_lcp = np.asarray(seeds[a:b]), np.asarray(seed_lcp[a:b]).astype(depth_kind)
         if len(own) and len(more):
             more_lcp = more_lcp.copy()
             more_lcp[0] = _common(text, own[-1:], more[:1], np.zeros(1, np.int64), cap)[0]
@@ -264,6 +269,7 @@ def suffix_order(text: np.ndarray, cap: int, store: Store | None = None, in_memo
     del up, same, nearest
     star = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     m = len(star)
+    names_cap = cap // 2 + 1  # a piece goes two symbols on at least
     if m > 1:
         name = _names(text, star, np.append(star[1:], n), sigma)
         if int(name.max()) + 1 == m:
@@ -271,11 +277,11 @@ def suffix_order(text: np.ndarray, cap: int, store: Store | None = None, in_memo
             order[name] = np.arange(m)
             shared = np.zeros(m, np.int64)
         elif m <= in_memory:
-            order, shared = _doubling(name, cap)
+            order, shared = _doubling(name, names_cap)
         else:
             base = int(np.ceil(np.sqrt(int(name.max()) + 1)))
             digits = np.stack([name // base, name % base], axis=1).reshape(-1).astype(np.int32)
-            two_order, two_lcp = suffix_order(digits, 2 * cap, store, in_memory)
+            two_order, two_lcp = suffix_order(digits, 2 * names_cap, store, in_memory)
             del digits
             even = np.flatnonzero(two_order % 2 == 0)
             order = two_order[even].astype(np.int64) // 2
