@@ -11,15 +11,22 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tideloom.llm import byte_bpe, exact_dedup, fertility, language, packing, token_blocks, toxicity, warc
+from tideloom.llm import byte_bpe, exact_dedup, fertility, language, neardup, packing, token_blocks, toxicity, warc
 from tideloom.llm.wordbpe import encoder
 
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", " \n", "don't I'VE x.y, a1.b2 12.5, ..., a.. ,.", "İstanbul éa ß ŉ ǅ ÿ. Ÿ, ªº µm", "<|endoftext|> <|startoftext|>.", "tab\there nb sp", "日本語 \U0001f600\U0001f600", "aaaaaaaaa hahahahaha 000000 !!!!!!"]
+ODD = ["", " \n", "don't I'VE x.y, a1.b2 12.5, ..., a.. ,.", "İstanbul éa ß ŉ ǅ ÿ. Ÿ, ªº µm", "<|endoftext|> <|startoftext|>.", "a<|endoftext|>b <|endoftext|><|startoftext|>x <|ENDOFTEXT|> <|end oftext|>", "tab\there nb sp", "日本語 \U0001f600\U0001f600", "aaaaaaaaa hahahahaha 000000 !!!!!!"]
 DOC = "doc_id long, text string, size string, kept string"
 
 
+TOKENIZER = Tokenizer.from_file(WORDS)
+
+
+def library_ids(text, end):
+    return array("I", [*TOKENIZER.encode(text, add_special_tokens=False).ids, end]).tobytes()
+
+
 def docs_of(spark, texts):
     return spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOC)
 
@@ -62,7 +69,6 @@ def test_ranges_are_joined():
 
 def test_word_ids_equal_the_library():
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     for text in ODD:
         assert encoder(WORDS).encode(text) == array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -76,6 +82,26 @@ def test_blocks_round_trip():
             assert (token_blocks.decode_blocks(data, starts, n) == ids).all()
 
 
+def test_whole_table_of_ids_equals_the_library(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want, at = {}, 0
+    for r in sorted(docs.select("doc_id", "text").collect(), key=lambda r: r["doc_id"]):
+        ids = library_ids(r["text"] or "", 1)
+        want[r["doc_id"]] = (at, len(ids) // 4, zlib.crc32(ids))
+        at += len(ids) // 4
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_blocks.token_blocks(docs, WORDS).collect()} == want
+
+
+def test_columns_of_any_name(spark):
+    names = "doc_id long, text string, lang string, __digest string, __id int, score double, lang_pred string, __text string, __key string, held_out string, own_digest string, own_key string, place string, whole_text string"
+    rows = [(d, t, "en", "a", 1, 0.5, "b", "c", "d", "e", "f", "g", "h", "i") for d, t in ((1, "one two three four five six"), (2, "one two three four five six"), (3, "drei vier"))]
+    docs = spark.createDataFrame(rows, names)
+    for keep, ids in ((exact_dedup.keep_first, [2, 3]), (language.keep_identified, [1, 2, 3]), (neardup.keep_one, [1, 3])):
+        kept = keep(docs)
+        assert kept.schema == docs.schema
+        assert sorted(map(tuple, kept.collect())) == [r for r in rows if r[0] in ids], keep
+
+
 def test_token_blocks(spark):
     docs = odd_rows(spark).unionByName(docs_of(spark, ODD).selectExpr("doc_id + 100 as doc_id", "text", "size", "kept"))
     rows = sorted(((d, t or "") for d, t in ((r["doc_id"], r["text"]) for r in docs.collect())), key=lambda x: (x[0] is not None, x[0] or 0))
@@ -83,7 +109,7 @@ def test_token_blocks(spark):
     assert [r["doc_id"] for r in got] == [d for d, _ in rows]
     at, want = 0, []
     for d, t in rows:
-        ids = encoder(WORDS).encode(t) + (1).to_bytes(4, "little")
+        ids = library_ids(t, 1)
         want.append((d, len(ids) // 4, zlib.crc32(ids)))
     assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got), key=str) == sorted(want, key=str)
     for r in got:
@@ -102,11 +128,20 @@ def test_packing(spark):
     for _, own in pieces.groupby("sequence_id"):
         own = own.sort_values("offset")
         assert (own["offset"].to_numpy() == np.concatenate([[0], own["length"].cumsum().to_numpy()[:-1]])).all()
-    for row in docs.limit(50).collect():
-        ids = encoder(WORDS).encode(row["text"]) + (2).to_bytes(4, "little")
-        own = pieces[pieces["doc_id"] == row["doc_id"]].sort_values("start")
-        if len(own) and own["doc_tokens"].iloc[0] == len(ids) // 4 and own["length"].sum() == len(ids) // 4:
-            assert [zlib.crc32(ids[4 * s : 4 * (s + n)]) for s, n in zip(own["start"], own["length"])] == own["ids_crc32"].tolist()
+    assert packing.pack(docs.limit(0), WORDS).count() == 0
+
+
+def test_packed_pieces_hold_the_library_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(100_000 + i, t) for i, t in enumerate([*ODD, None, "word " * 30_000])], "doc_id long, text string"))
+    pieces = packing.pack(docs, WORDS).toPandas()
+    own = {d: g.sort_values("start") for d, g in pieces.groupby("doc_id")}
+    rows = docs.collect()
+    assert set(own) == {r["doc_id"] for r in rows}
+    for row in rows:
+        ids, mine = library_ids(row["text"] or "", 2), own[row["doc_id"]]
+        assert set(mine["doc_tokens"]) == {len(ids) // 4}
+        assert mine["start"].tolist() == np.concatenate([[0], mine["length"].cumsum().to_numpy()[:-1]]).tolist() and mine["length"].sum() == len(ids) // 4
+        assert [zlib.crc32(ids[4 * s : 4 * (s + n)]) for s, n in zip(mine["start"], mine["length"])] == mine["ids_crc32"].tolist()
 
 
 def test_best_fit_finds_the_tightest_window():

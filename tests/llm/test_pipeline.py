@@ -39,7 +39,6 @@ def test_run(spark):
     rows = {d: t for d, t in rows.items() if groups[d][1] == d}
     texts = cut(list(rows.items()))
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     lengths = {d: len(tok.encode(t, add_special_tokens=False).ids) + 1 for d, t in texts.items()}
     out = corpus_pipeline.run(spark, sf).collect()
     found = {}

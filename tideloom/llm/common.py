@@ -107,13 +107,21 @@ def replayable(df: DataFrame, tag: str) -> DataFrame:
     return df if kinds <= {"Project", "Relation", "RelationV2", "LogicalRelation"} else stored(df, tag)
 
 
-def tidied(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the worker, which serves other tasks too, gives its free memory back."""
+def tidied(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None, cycles: bool = True) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker, which serves other tasks too, calls ``forget`` and gives its free memory back.
+
+    ``cycles`` False: ``run`` makes no cycles, and the collector rests while it works.
+    """
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
+            if not cycles:
+                gc.disable()
             yield from run(batches)
         finally:
+            if forget:
+                forget()
+            gc.enable()
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:
@@ -176,6 +184,14 @@ def marked(df: DataFrame, column: str, most_bits: int = 1 << 26) -> np.ndarray:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Let Arrow batches have at most ``rows`` rows, as a batch of whole texts lies in memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+    return spark
+
+
 def likely(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
     """The rows whose column is in the bit map, and few others: so that a join with a small side need not move all texts."""
     bits = len(bitmap) * 64
@@ -190,5 +206,6 @@ def likely(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
             if kept.num_rows:
                 yield kept
 
-    placed = df.withColumn("__place", F.pmod(F.xxhash64(column), F.lit(bits)))
-    return placed.mapInArrow(run, placed.schema).drop("__place")
+    (name,) = fresh(df, "place")
+    placed = df.withColumn(name, F.pmod(F.xxhash64(column), F.lit(bits)))
+    return placed.mapInArrow(tidied(run), placed.schema).drop(name)

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 32
+#: Tasks among which the rows of one group of copies are dealt.
+SALTS = 64
 _GEAR = np.random.default_rng(20240101).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -84,7 +86,7 @@ def recipes(docs: DataFrame, mask_bits: int = 12, least: int = 1024, most: int =
             yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array([d.hexdigest() for d in whole]), chunks], names=["doc_id", "text_sha256", "chunks"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, text_sha256 string, chunks array<struct<fp:long,d0:long,d1:long,d2:long,d3:long>>")
+    return source.mapInArrow(common.tidied(run), "doc_id long, text_sha256 string, chunks array<struct<fp:long,d0:long,d1:long,d2:long,d3:long>>")
 
 
 def _collided(made: DataFrame) -> DataFrame:
@@ -114,9 +116,11 @@ def identified(made: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame, **chunking: int) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, n_chunks of every row; the largest ``doc_id`` stays."""
     made = common.stored(recipes(docs, **chunking).withColumn("row", F.monotonically_increasing_id()), "dedup-recipes")
-    rows = identified(made).select("doc_id", "row", "text_sha256", "recipe")
-    groups = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
-    joined = rows.join(groups, "recipe")
+    rows = identified(made).select("doc_id", "row", "text_sha256", "recipe").withColumn("salt", F.pmod("row", F.lit(SALTS)))
+    # a group of any size is dealt to SALTS tasks, both when it is summed up and when it is told its sum
+    parts = rows.groupBy("recipe", "salt").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
+    groups = parts.groupBy("recipe").agg(F.max("keep").alias("keep"), F.sum("group_size").alias("group_size"), F.collect_list("salt").alias("salts"))
+    joined = rows.join(groups.select("recipe", "keep", "group_size", F.explode("salts").alias("salt")), ["recipe", "salt"])
     return joined.select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256"
     )
@@ -125,9 +129,10 @@ def exact_dedup(docs: DataFrame, **chunking: int) -> DataFrame:
 def keep_first(docs: DataFrame, **chunking: int) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
     found = common.stored(exact_dedup(docs, **chunking).select("doc_id", "text_sha256", "kept"), "dedup-decisions")
-    kept = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    own, kept_id, kept_digest = common.fresh(docs, "own_digest", "kept_id", "kept_digest")
+    kept = found.filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_digest))
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    left = docs.withColumn("__digest", digest).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
-    if found.groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
-        return left.drop("__digest")
-    return left.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    left = docs.withColumn(own, digest).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_digest)), "left_semi")
+    if not found.groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", own])
+    return left.drop(own)

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import common
 
@@ -136,7 +137,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         for lang, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, gram long, n long")
+    return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidied(run), "lang string, gram long, n long")
 
 
 def fit_profiles(docs: DataFrame, profile_size: int = 400) -> dict[str, list[int]]:
@@ -194,23 +195,25 @@ class Judge:
             yield self.names[best], float(lead)
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str] | None = None, text_size: int = 300, profile_size: int = 400) -> DataFrame:
-    """doc_id (or the columns ``keep``), lang_pred, score of every row, by its whole text alone."""
+def identify(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str] | None = None, text_size: int = 300, profile_size: int = 400, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """doc_id (or the columns ``keep``), and under ``names`` the language and the score of every row, by its whole text alone."""
     keep = keep or ["doc_id"]
+    own = "text" if "text" in keep and docs.schema["text"].dataType == StringType() else None  # one copy of the texts is enough
+    column = own or common.fresh(docs, "whole_text")[0]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(profiles, text_size, profile_size)
         for table in common.blocks(batches, column, BLOCK_CHARS):
             found = list(judge.judge(common.texts_of(table, column)))
-            if column == "__text":
-                table = table.drop_columns(["__text"])
-            table = table.append_column("lang_pred", pa.array([f[0] for f in found], pa.string())).append_column("score", pa.array([f[1] for f in found], pa.float64()))
+            if not own:
+                table = table.drop_columns([column])
+            table = table.append_column(names[0], pa.array([f[0] for f in found], pa.string())).append_column(names[1], pa.array([f[1] for f in found], pa.float64()))
             yield from table.to_batches()
 
-    column = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "__text"  # one copy of the texts is enough
-    source = docs.select(*keep) if column == "text" else docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    return source.mapInArrow(run, schema + ", lang_pred string, score double")
+    kept = [F.col(f"`{c}`") for c in keep]
+    source = docs.select(*kept) if own else docs.select(*kept, F.col("text").cast("string").alias(column))
+    schema = StructType([*(f for f in source.schema.fields if f.name != column or own), StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return source.mapInArrow(common.tidied(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -219,14 +222,16 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def language_id(docs: DataFrame, profile_size: int = 400, text_size: int = 300) -> DataFrame:
-    """Learn from the rows that are not held out, then judge every row."""
-    marked = docs.withColumn("held_out", held_out())
+    """doc_id, held_out, lang_pred, score: learn from the rows that are not held out, then judge every row."""
+    marked = docs.select("doc_id", held_out().alias("held_out"), "lang", "text")
     profiles = fit_profiles(marked.filter("not held_out"), profile_size)
     return identify(marked, profiles, ["doc_id", "held_out"], text_size, profile_size)
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.02, profile_size: int = 400, text_size: int = 300) -> DataFrame:
-    """The rows whose language is told with a score of at least ``least_score``, with all their columns."""
-    profiles = fit_profiles(docs.withColumn("__held", held_out()).filter("not __held"), profile_size)
-    judged = identify(docs, profiles, docs.columns, text_size, profile_size)
-    return judged.filter((F.col("lang_pred") != UND) & (F.col("score") >= least_score)).select(*docs.columns)
+    """The rows whose language is told with a score of at least ``least_score``, with all their columns, whatever their names."""
+    profiles = fit_profiles(docs.filter(~held_out()), profile_size)
+    names = tuple(common.fresh(docs, "lang_pred", "score"))
+    judged = identify(docs, profiles, docs.columns, text_size, profile_size, names)
+    kept = judged.filter((F.col(names[0]) != UND) & (F.col(names[1]) >= least_score))
+    return kept.drop(*names)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .wordbpe import encoder, forget
 
 #: Ids that are packed together.
 BLOCK_TOKENS = 4_000_000
@@ -110,14 +111,12 @@ def pack_lengths(lengths: list[int], window: int = 4096, slack: int = 64) -> lis
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, slack: int = 64, block_tokens: int = BLOCK_TOKENS, memo_size: int = 900_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, slack: int = 64, block_tokens: int = BLOCK_TOKENS, memo_size: int = 500_000) -> DataFrame:
     """One row per piece; see the module's text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from .wordbpe import encoder
-
         enc, base = encoder(vocabulary, memo_size), TaskContext.get().partitionId() << 32
         end = int(end_id).to_bytes(4, "little")
         held: list[bytes] = []
@@ -148,8 +147,5 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
                     yield flush()
         if held:
             yield flush()
-        if memo_size < 500_000:  # a worker that goes on to other stages gives the memory back
-            enc.memo.clear()
-            enc.memo[""] = b""
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidied(run, forget, cycles=False), SCHEMA)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import common
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return common.small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _vocabulary(name: str) -> str:

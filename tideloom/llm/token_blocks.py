@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .wordbpe import encoder, forget
 
 MAGIC = b"PFR1"
 BLOCK = 256
@@ -151,8 +152,6 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from .wordbpe import encoder
-
         enc, task = encoder(vocabulary), TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
         end = int(end_id).to_bytes(4, "little")
@@ -185,7 +184,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["path", "part", "seq", "n_docs", "n_tokens", "n_bytes"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(write, "path string, part long, seq long, n_docs long, n_tokens long, n_bytes long")
+    return ordered.mapInArrow(common.tidied(write, forget, cycles=False), "path string, part long, seq long, n_docs long, n_tokens long, n_bytes long")
 
 
 def with_starts(index: DataFrame) -> DataFrame:
@@ -213,7 +212,7 @@ def read_shards(index: DataFrame) -> DataFrame:
                 )
 
     spread = index.select("path", "start").repartition(F.col("path"))
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(common.tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_blocks(docs: DataFrame, vocabulary: str, end_id: int = 1, folder: str | None = None) -> DataFrame:

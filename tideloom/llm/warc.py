@@ -112,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, archive_byte
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     marked = source.join(revisits, (F.col("page_id") == F.col("id")) & (F.sha2(F.coalesce("html", F.lit("")), 256) == F.col("sha")), "left")
-    return common.stored(marked.select("page_id", "url", "html", "refers_to").mapInArrow(write, INDEX), "warc-index")
+    return common.stored(marked.select("page_id", "url", "html", "refers_to").mapInArrow(common.tidied(write), INDEX), "warc-index")
 
 
 def coalesce_ranges(ranges: list[tuple[int, int]], gap: int, most: int) -> list[tuple[int, int, list[int]]]:
@@ -174,7 +174,7 @@ def read_records(selected: DataFrame, gap: int = 65_536, most: int = 4_000_000,
             yield from of_archive(now, ranges)
 
     by_archive = selected.select("path", "offset", "length").repartition(F.col("path")).sortWithinPartitions("path", "offset")
-    return by_archive.mapInArrow(run, RECORDS + ", payload binary" * with_payload)
+    return by_archive.mapInArrow(common.tidied(run), RECORDS + ", payload binary" * with_payload)
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:

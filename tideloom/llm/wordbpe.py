@@ -4,12 +4,14 @@ The vocabulary drops white space, and none of its pre-tokens crosses a blank or
 ids of a text are the ids of its blank-separated chunks, one after the other.  Each distinct chunk is
 encoded once by the library; the memo is emptied when it holds ``memo_size`` chunks.  Chunks of Latin-1
 letters, with at most one full stop or comma after them, go straight to the library's BPE model: they
-are single pre-tokens that NFC leaves alone.  All other chunks pass the library's whole chain.
+are single pre-tokens that NFC leaves alone.  All other chunks pass the library's whole chain, which also finds the
+strings of special tokens, as in whole texts.  A vocabulary with an added token that holds white space or takes notice of
+its surroundings has its texts encoded whole.
 """
 
 from __future__ import annotations
 
-import gc
+import json
 import os
 from array import array
 
@@ -32,7 +34,8 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = json.loads(self.tok.to_str()).get("added_tokens", [])
+        self.chunked = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(map(str.isspace, t["content"])) for t in added)
         self.model = self.tok.model
         self.letters = byte_letters()
         self.memo: dict[str, bytes] = {"": b""}
@@ -59,6 +62,8 @@ class WordBpe:
         return array("I", self.tok.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if not self.chunked:
+            return self._full(text)
         memo = self.memo
         out = []
         for chunk in text.replace("\n", " ").split(" "):
@@ -80,6 +85,12 @@ _encoders: dict[tuple[str, int], WordBpe] = {}
 def encoder(path: str, memo_size: int = 900_000) -> WordBpe:
     """One encoder for each vocabulary and worker process.  A memo entry takes about 250 bytes."""
     if (path, memo_size) not in _encoders:
-        gc.disable()  # the memo holds no cycles; scanning it again and again would cost more than the encoding
         _encoders[path, memo_size] = WordBpe(path, memo_size)
     return _encoders[path, memo_size]
+
+
+def forget(most: int = 200_000) -> None:
+    """Empty the memos of more than ``most`` chunks: what a worker keeps between tasks stays under 50 MB."""
+    for own in _encoders.values():
+        if len(own.memo) > most:
+            own.memo = {"": b""}
