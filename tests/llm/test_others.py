@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -208,6 +209,62 @@ def test_fertility(spark):
     assert sum(got[d]["kept"] for d in bad) < 0.4 * len(bad)
 
 
+def brute_verdicts(rows, reach=6.0, least_entropy=4.0, margin=0.005, least_group=100):
+    """The verdict of rows that pass the base rules, with plain lists; quantiles as the least value that reaches the share."""
+
+    def at(values, share):
+        values = sorted(values)
+        return values[max(0, int(np.ceil(share * len(values))) - 1)]
+
+    names = [f"language {r['lang']}" if r["lang"] is not None else f"script {r['script']}" for r in rows]
+    sizes = Counter(names)
+    scripts = Counter(r["script"] for r in rows)
+    all_of = {"whole table": rows}
+    for r, name in zip(rows, names):
+        all_of.setdefault(name, []).append(r)
+    for script in scripts:
+        all_of[f"script {script}"] = [r for r in rows if r["script"] == script]
+    fits = {}
+    for group, own in all_of.items():
+        n_words, chars, share = (at([r[m] for r in own], 0.5) for m in ("n_words", "chars_per_token", "fallback_share"))
+        x, y = np.array([np.log(r["word_chars"] / r["chars_per_token"]) for r in own]), np.array([r["token_entropy"] for r in own])
+        slope = float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()) if x.std() else 0.0
+        slope, start = round(slope, 6), round(float(y.mean() - slope * x.mean()), 6)
+
+        def off(r, n_words=n_words, chars=chars, share=share, slope=slope, start=start):
+            scale = max(0.5, min(1.0, r["n_words"] / n_words) ** 0.5)
+            line = start + slope * np.log(r["word_chars"] / r["chars_per_token"])
+            return [(r["chars_per_token"] - chars) * scale, (r["fallback_share"] - share) * scale, (r["token_entropy"] - line) * scale]
+
+        bands = [[at(v, q) for q in (0.25, 0.5, 0.75)] for v in zip(*map(off, own))]
+        fits[group] = off, bands, (chars * 0.005, share * 0.005, 0.0)
+    out = {}
+    for r, name in zip(rows, names):
+        group = name if sizes[name] >= least_group else f"script {r['script']}" if scripts[r["script"]] >= least_group else "whole table"
+        off, bands, least = fits[group]
+        out[r["doc_id"]] = all(
+            mid - (least_entropy if k == 2 else reach) * max(mid - low, least[k]) - margin <= v <= mid + reach * max(high - mid, least[k]) + margin
+            for k, (v, (low, mid, high)) in enumerate(zip(off(r), bands))
+        )
+    return out
+
+
+def test_verdicts_equal_brute_force_at_every_size(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        extra = spark.createDataFrame([(-1, "слово " * 10 + " ".join(f"дом{i} кот{i * i}" for i in range(60)), "ru"), (-2, "x | y | " * 200, None), (-2, "x | y | " * 200, None)], "doc_id long, text string, lang string")
+        got = fertility.quality(docs.select("doc_id", "text", "lang").unionByName(extra), path).join(docs.select("doc_id", "lang").unionByName(extra.select("doc_id", "lang")).distinct(), "doc_id")
+        rows = [r.asDict() for r in got.collect()]
+        passed = [r for r in rows if not r["base_failed"]]
+        want = brute_verdicts(passed)
+        wrong = [r["doc_id"] for r in passed if r["kept"] != want[r["doc_id"]]]
+        assert len(wrong) <= 0.002 * len(passed), wrong  # approximate quantiles at a border
+        groups = Counter(r["group"] for r in passed)
+        assert groups["script Latn"] > 0 if sf == "sf0.001" else groups["language en"] >= 100
+        assert {r["group"] for r in passed if r["doc_id"] == -1} == {"whole table"}
+
+
 def test_fertility_rejects_in_every_language(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     got = fertility.quality(docs, public_tokenizers.path("piece_bpe_32k.model")).filter("not base_failed")

@@ -9,7 +9,8 @@ number of tokens, with which it falls.  Distances from the usual, shortened for
 whose measures vary more, have quartiles; a text farther from the median distance than ``reach`` quartile distances is
 rejected, and one whose entropy lies more than ``least_entropy`` of them below (symbol junk and lists repeat their
 tokens; clean texts stray upwards rather than downwards).  Lines and bands are computed over the whole table by mergeable
-sums and quantile summaries, one row per group; groups of fewer than ``least_group`` texts have no bands.
+sums and quantile summaries, one row per group.  A language of fewer than ``least_group`` such texts is judged by the lines and bands
+of all texts of the script, and a script of fewer by those of the whole table, so every text is judged at every size.
 
 Defined cases: null and empty texts have no words and fail the base rules; a text without letters belongs to
 the script ``Zyyy``; repeated rows are judged each; an empty table gives no row; other columns are ignored.
@@ -17,13 +18,12 @@ the script ``Zyyy``; repeated rows are judged each; an empty table gives no row;
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -51,7 +51,7 @@ class Pieces:
         self.memo_size = memo_size
 
     def of(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as little-endian 16-bit integers."""
+        """The ids of each word as little-endian 32-bit integers."""
         memo = self.memo
         fresh = [w for w in words if w not in memo]
         if fresh:
@@ -59,7 +59,7 @@ class Pieces:
                 memo.clear()
                 fresh = words
             coded = self.model.encode([w.decode("utf-8") for w in fresh], num_threads=1)
-            memo.update((w, np.array(ids, "<u2").tobytes()) for w, ids in zip(fresh, coded))
+            memo.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(fresh, coded))
         return [memo[w] for w in words]
 
 
@@ -68,11 +68,17 @@ _pieces: dict[str, Pieces] = {}
 
 def pieces(path: str) -> Pieces:
     if path not in _pieces:
-        gc.disable()
         _pieces[path] = Pieces(path)
     return _pieces[path]
 
 
+def forget(most: int = 200_000) -> None:
+    """Empty the memos of more than ``most`` words."""
+    for own in _pieces.values():
+        if len(own.memo) > most:
+            own.memo = {}
+
+
 def script_of(text: str) -> str:
     """The script of most letters; ties go to the first name."""
     if text.isascii():
@@ -128,8 +134,8 @@ def measure(text: str, coder: Pieces) -> tuple:
     ids = np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
     coded = coder.of(list(seen))
     times = np.bincount(ids)
-    tokens = np.frombuffer(b"".join(coded), "<u2")
-    each = np.repeat(times, np.fromiter(map(len, coded), np.int64, len(coded)) // 2)
+    tokens = np.frombuffer(b"".join(coded), "<u4")
+    each = np.repeat(times, np.fromiter(map(len, coded), np.int64, len(coded)) // 4)
     total = int(each.sum())
     counts = np.bincount(tokens, weights=each)
     counts = counts[counts > 0]
@@ -152,7 +158,31 @@ def measures(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, COLUMNS)
+    return source.mapInArrow(common.tidied(run, forget, cycles=False), COLUMNS)
+
+
+WHOLE = "whole table"
+
+
+def groups_of(measured: DataFrame) -> list[Column]:
+    """The groups that a text belongs to: its language, its script, the whole table."""
+    script = F.concat(F.lit("script "), "script")
+    return [F.coalesce(F.concat(F.lit("language "), "lang"), script), script, F.lit(WHOLE)]
+
+
+def chosen_groups(measured: DataFrame, least_group: int) -> DataFrame:
+    """own_lang, own_script, group: the first group of each pair with ``least_group`` texts that pass the base rules, else the whole table."""
+    pairs = measured.groupBy("lang", "script").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n"))
+    levels = pairs.select("lang", "script", "n", *(g.alias(f"g{k}") for k, g in enumerate(groups_of(pairs))))
+    for k in range(2):  # over pairs, not texts
+        levels = levels.withColumn(f"n{k}", F.sum("n").over(Window.partitionBy(f"g{k}")))
+    group = F.when(F.col("n0") >= least_group, F.col("g0")).when(F.col("n1") >= least_group, F.col("g1")).otherwise(F.lit(WHOLE))
+    return levels.select(F.col("lang").alias("own_lang"), F.col("script").alias("own_script"), group.alias("group"))
+
+
+def few(found: DataFrame, most: int = 50_000) -> DataFrame:
+    """``found`` for a broadcast where it has ``most`` rows at most; more are left to the planner."""
+    return F.broadcast(found) if found.limit(most + 1).count() <= most else found
 
 
 def trends(measured: DataFrame) -> DataFrame:
@@ -160,7 +190,7 @@ def trends(measured: DataFrame) -> DataFrame:
     entropy, tokens = F.col("token_entropy"), F.log(F.col("word_chars") / F.col("chars_per_token"))
     slope = F.coalesce(F.regr_slope(entropy, tokens), F.lit(0.0))
     middle = [F.percentile_approx(m, 0.5, 10000).alias(f"usual_{m}") for m in ("n_words", *MEASURES[:2])]
-    found = measured.filter("not base_failed").groupBy("group").agg(F.count("*").alias("n"), *middle, F.round(slope, 6).alias("slope"), F.round(F.avg(entropy) - slope * F.avg(tokens), 6).alias("start"))
+    found = measured.groupBy("group").agg(F.count("*").alias("n"), *middle, F.round(slope, 6).alias("slope"), F.round(F.avg(entropy) - slope * F.avg(tokens), 6).alias("start"))
     return found.withColumnRenamed("group", "trend_group")
 
 
@@ -170,7 +200,7 @@ def distances(measured: DataFrame, trend: DataFrame) -> DataFrame:
     Measures of n words vary as 1 / sqrt(n), so the distances of shorter texts are shortened before the quartiles are
     taken; by ``LEAST_SCALE`` at most.
     """
-    out = measured.join(F.broadcast(trend), F.col("group") == F.col("trend_group"), "left")
+    out = measured.join(trend, F.col("group") == F.col("trend_group"), "left")
     scale = F.greatest(F.lit(LEAST_SCALE), F.sqrt(F.least(F.lit(1.0), F.col("n_words") / F.col("usual_n_words"))))
     usual = {m: F.col(f"usual_{m}") for m in MEASURES[:2]} | {"token_entropy": F.col("start") + F.col("slope") * F.log(F.col("word_chars") / F.col("chars_per_token"))}
     for m in MEASURES:
@@ -178,10 +208,10 @@ def distances(measured: DataFrame, trend: DataFrame) -> DataFrame:
     return out
 
 
-def bands(measured: DataFrame, least_group: int) -> DataFrame:
+def bands(placed: DataFrame) -> DataFrame:
     """One row per group: median and quartile distances of each measure's distance from the usual."""
     quartiles = [F.percentile_approx(f"off_{m}", [0.25, 0.5, 0.75], 10000).alias(m) for m in MEASURES]
-    found = measured.filter("not base_failed").groupBy("group").agg(F.count("*").alias("n_band"), *[F.first(f"usual_{m}").alias(f"usual_{m}") for m in MEASURES[:2]], *quartiles).filter(F.col("n_band") >= least_group)
+    found = placed.groupBy("group").agg(*[F.first(f"usual_{m}").alias(f"usual_{m}") for m in MEASURES[:2]], *quartiles)
     out = [F.col("group").alias("band_group")]
     for m in MEASURES:
         low, mid, high = (F.col(m)[k] for k in range(3))
@@ -194,13 +224,17 @@ def bands(measured: DataFrame, least_group: int) -> DataFrame:
 def quality(docs: DataFrame, vocabulary: str, reach: float = 6.0, least_entropy: float = 4.0, margin: float = 0.005, least_group: int = 100) -> DataFrame:
     """The measures of every row with base_failed and kept."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    grouped = measures(docs, vocabulary).withColumn("base_failed", failed).withColumn("group", F.coalesce("lang", "script"))
-    measured = common.stored(grouped, "quality-measures")
-    placed = distances(measured, trends(measured))
+    measured = common.stored(measures(docs, vocabulary).withColumn("base_failed", failed), "quality-measures")
+    of_all = measured.filter("not base_failed")
+    of_all = of_all.withColumn("group", F.explode(F.array_distinct(F.array(*groups_of(of_all)))))
+    trend = common.stored(trends(of_all), "quality-trends")
+    band = common.stored(bands(distances(of_all, few(trend))), "quality-bands")
+    chosen = few(common.stored(chosen_groups(measured, least_group), "quality-groups"))
+    grouped = measured.join(chosen, F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("script").eqNullSafe(F.col("own_script")), "left")
     inside = F.lit(True)
     for m in MEASURES:
         down = least_entropy if m == "token_entropy" else reach
         low, high = F.col(f"mid_{m}") - down * F.col(f"below_{m}") - margin, F.col(f"mid_{m}") + reach * F.col(f"above_{m}") + margin
         inside &= F.coalesce(F.col(f"off_{m}").between(low, high), F.lit(True))
-    judged = placed.join(F.broadcast(bands(placed, least_group)), F.col("group") == F.col("band_group"), "left")
-    return judged.withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", *MEASURES)
+    judged = distances(grouped, few(trend)).join(few(band), F.col("group") == F.col("band_group"), "left")
+    return judged.withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", *MEASURES, "group")

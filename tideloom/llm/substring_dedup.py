@@ -44,7 +44,7 @@ NO_ID = 2**63 - 1
 SEED = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_TO_SEED = np.uint64(pow(_BASE, SEED, 1 << 64))
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 
 
 def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
@@ -467,7 +467,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
 
 
-def repeats(docs: DataFrame, least: int = 50, parcel_bytes: int = 16_000_000, side_hashes: int = 2_000_000, shard_bytes: int = 6_000_000, queue_bytes: int = 1_000_000) -> DataFrame:
+def repeats(docs: DataFrame, least: int = 50, parcel_bytes: int = 8_000_000, side_hashes: int = 2_000_000, shard_bytes: int = 4_000_000, queue_bytes: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     ``least`` is 48 at least, three seeds.  ``side_hashes`` and ``shard_bytes`` are the aims for a shard of either asking;
@@ -487,7 +487,7 @@ def repeats(docs: DataFrame, least: int = 50, parcel_bytes: int = 16_000_000, si
     return source.mapInArrow(common.tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, least: int = 50, parcel_bytes: int = 16_000_000, side_hashes: int = 2_000_000, shard_bytes: int = 6_000_000, queue_bytes: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 50, parcel_bytes: int = 8_000_000, side_hashes: int = 2_000_000, shard_bytes: int = 4_000_000, queue_bytes: int = 1_000_000) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``, all other columns as they were.  Null texts stay null."""
     _checked(least)
     docs = common.replayable(docs, "repeats-input")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+SALTS = 64
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, digest string, record_type string, path string, offset long, length long"
@@ -70,8 +71,11 @@ def _revisits(pages: DataFrame, least: int) -> DataFrame:
     """id and digest of the pages that revisit another one, with its id.  Moves digests, not payloads."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     seen = pages.select(F.col("page_id").cast("long").alias("id"), F.sha2(payload, 256).alias("sha"), F.octet_length(payload).alias("bytes")).filter((F.col("bytes") >= least) & F.col("id").isNotNull())
-    groups = seen.groupBy("sha").agg(F.min("id").alias("refers_to"), F.max("id").alias("last")).filter("refers_to < last").drop("last")
-    return seen.join(groups, "sha").filter("id <> refers_to").select("id", "sha", "refers_to").distinct()
+    # a payload of any number of pages is dealt to SALTS tasks, both when its first page is sought and when that is told
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    parts = seen.groupBy("sha", "salt").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    groups = parts.groupBy("sha").agg(F.min("least").alias("refers_to"), F.max("most").alias("last"), F.collect_list("salt").alias("salts")).filter("refers_to < last")
+    return seen.join(groups.select("sha", "refers_to", F.explode("salts").alias("salt")), ["sha", "salt"]).filter("id <> refers_to").select("id", "sha", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 100, archive_bytes: int = 16_000_000, level: int = 1, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
