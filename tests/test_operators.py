@@ -38,7 +38,7 @@ def rows(columns, data):
 
 
 # a spread over all groups; the driver's correctness run covers the rest
-SOME = ["ag_agents_board", "ag_trending", "ag_exact_dups", "ag_spam", "ag_influence", "ag_topic_graph", "vx_search", "mx_combined", "fp_compute", "fp_compare", "co_brigading", "co_sockpuppets", "tm_bursts", "tm_xcorr", "tm_circadian", "nv_roles", "nv_timeline", "al_risk", "al_dup_check", "gr_pagerank_steps", "dt_year_week", "wn_role_rank", "src_api_patterns", "jn_range_time_sym"]
+SOME = ["ag_agents_board", "ag_trending", "ag_exact_dups", "ag_spam", "ag_influence", "ag_topic_graph", "vx_search", "mx_combined", "fp_compute", "fp_compare", "co_brigading", "co_sockpuppets", "tm_bursts", "tm_xcorr", "tm_circadian", "nv_roles", "nv_timeline", "al_risk", "al_dup_check", "dt_year_week", "wn_role_rank", "src_api_patterns", "jn_range_time_sym"]
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -78,6 +78,7 @@ def test_bridge_between_cliques(spark):
     assert bc["a1"] == 0
     of = {r["author_name"]: r["community"] for r in graphs.communities(pairs).collect()}
     assert len({of[f"a{i}"] for i in range(4)}) == 1 and of["a0"] != of["b0"]
+    assert graphs.modularity(pairs, graphs.communities(pairs)).first()["modularity"] > 0.4
     found = graphs.cliques(pairs).collect()
     assert [r["members"] for r in found] == ["a0,a1,a2,a3", "b0,b1,b2,b3"] and found[0]["total_weight"] == 12
     assert {r["component"] for r in graphs.connected(pairs).collect()} == {"a0"}
@@ -138,3 +139,40 @@ def test_topics_are_learned_from_all_authors(spark, monkeypatch):
     monkeypatch.setattr(detectors, "LDA", Spy)
     got = queries.mx_topic(spark, SF).groupBy("author_name").sum("share").collect()
     assert used == [(10, 1.0)] and got and all(abs(r[1] - 1) < 1e-6 for r in got)
+
+
+def test_modularity_of_a_ring_of_cliques(spark):
+    """Twelve cliques of five in a ring: each is a community, as the known best partition has it."""
+    edges = [(f"g{g:02}n{i}", f"g{g:02}n{j}", 1) for g in range(12) for i in range(5) for j in range(i + 1, 5)] + [(f"g{g:02}n0", f"g{(g + 1) % 12:02}n1", 1) for g in range(12)]
+    pairs = pairs_of(spark, edges)
+    of = {r["author_name"]: r["community"] for r in graphs.communities(pairs).collect()}
+    assert all(len({of[f"g{g:02}n{i}"] for i in range(5)}) == 1 for g in range(12))
+    q = graphs.modularity(pairs, graphs.communities(pairs)).first()["modularity"]
+    assert q >= 10 / 11 - 1 / 12 - 1e-9
+
+
+def test_topics_raise_the_combined_value(spark):
+    engine = Engine(bound_tables(spark, SF))
+    without, counted = (engine.run("mx_combined", counted_topics=c).toPandas().set_index(["author1", "author2"])["value"].sort_index() for c in (False, True))
+    assert len(without) == len(counted) and (counted >= without - 1e-4).all() and (counted > without).any()
+
+
+def test_alerts_follow_the_detectors(spark):
+    found = spark.createDataFrame([(12.0, 0.9, "a"), (12.0, 0.1, "b"), (6.0, 0.9, "c"), (1.0, 0.9, "d")], "coordination_score double, fingerprint_similarity double, who string")
+    from pyspark.sql import functions as F
+
+    score = F.col("coordination_score")
+    got = {r["who"]: (r["severity"], r["confidence"]) for r in detectors.graded(found, "x", [((score > 10) & (F.col("fingerprint_similarity") > 0.8), "critical"), (score > 8, "high"), (score > 5, "medium")], F.least(score / 12, F.lit(1.0))).collect()}
+    assert got == {"a": ("critical", 1.0), "b": ("high", 1.0), "c": ("medium", 0.5)}
+
+
+def test_weeks_of_two_years_differ(spark):
+    posts = [(i, "t", "c", "a", "k", 1, 0, dt.datetime(year, 1, 10, hour)) for i, (year, hour) in enumerate([(2023, 3), (2024, 15)])]
+    got = Engine(community(spark, posts, []), "2024-02-01 00:00:00").run("fp_change").collect()
+    assert [(r["author_name"], r["delta"]) for r in got] == [("a", 1.0)]
+
+
+def test_declared_queries_have_rows(duck):
+    """No oracle compares nothing with nothing on the smallest tables."""
+    few = [name for name, sql in driver.oracle_sql().items() if name.startswith(("vx_", "nv_", "mx_similar", "jn_range")) and not duck.execute(sql).fetchall()]
+    assert few == []

@@ -38,6 +38,14 @@ class Dialect:
         """True if the text holds one of the words, whatever their case."""
         return "(" + " or ".join(f"{expr} ilike {self.lit('%' + w + '%')}" for w in words) + ")"
 
+    def count_of(self, expr: str, text: str) -> str:
+        """How often a fixed text stands in a string, without overlaps."""
+        return self.idiv(f"(length({expr}) - length(replace({expr}, {self.mark(text)}, '')))", str(len(text)))
+
+    def mark(self, text: str) -> str:
+        """A literal of characters that the two dialects escape in different ways."""
+        return "chr(10)" if text == "\n" else self.lit(text)
+
     def ago(self, hours: float) -> str:
         return f"({self.now} - interval {int(hours * 60)} minute)"
 
@@ -80,7 +88,7 @@ class Spark(Dialect):
 
     def tokens(self, expr: str, least: int, most: int) -> str:
         """Words of a-z letters between word boundaries."""
-        return f"filter(regexp_extract_all(lower({expr}), r'[\\p{{L}}\\p{{N}}_]+', 0), t -> t rlike r'^[a-z]{{{least},{most}}}$')"
+        return f"regexp_extract_all(lower({expr}), r'(?<![\\p{{L}}\\p{{N}}_])[a-z]{{{least},{most}}}+(?![\\p{{L}}\\p{{N}}_])', 0)"
 
     def explode(self, array: str) -> str:
         return f"explode({array})"

@@ -6,8 +6,7 @@ from ..functions.dialect import Dialect
 from ..plans.registry import operator
 from .coordination import sockpuppets
 from .insights import alert_counts
-from .narratives import windows
-from .temporal import bursts, profile_pairs
+from .temporal import bursts
 
 # Weights of severities and types in a risk score.
 SEVERITY = [("critical", 4.0), ("high", 3.0), ("medium", 2.0), ("low", 1.0)]
@@ -25,19 +24,6 @@ def graded(d: Dialect, source: str, kind: str, grades: list[tuple[str, str]], co
     return f"select * from (select {d.lit(kind)} as alert_type, x.*, case {whens} end as severity, round({confidence}, 4) as confidence from ({source}) x) y where severity is not null"
 
 
-@operator("al_sync", low=0.1, high=0.2)
-def al_sync(d: Dialect, low: float = 5, high: float = 10) -> str:
-    """From groups with their scores; the test groups are hours of posts in a community."""
-    groups = f"select submolt, date_trunc('hour', created_at) as hour, count(distinct author_name) as authors, count(distinct author_name) * 0.1 as score from {d.posts} group by submolt, date_trunc('hour', created_at)"
-    return graded(d, groups, "synchronized_posting", [(f"score > {d.lit(high)}", "high"), (f"score > {d.lit(low)}", "medium")], "least(score / 15, 1.0)")
-
-
-@operator("al_cluster", low=0.5, high=1.5)
-def al_cluster(d: Dialect, low: float = 8, high: float = 12) -> str:
-    groups = f"select src, count(*) as members, sum(w) * 1.0 / count(*) as cohesion, sum(w) * 1.0 / count(*) * ln(count(*) + 1) / 3 as score from {d.edges} group by src"
-    return graded(d, f"select src, members, round(score, 4) as score from ({groups}) g", "coordination_cluster", [(f"score > {d.lit(high)}", "high"), (f"score > {d.lit(low)}", "medium")], "least(score / 20, 1.0)")
-
-
 @operator("al_burst", z=1.0, low=1.5, high=2.0, days=14)
 def al_burst(d: Dialect, z: float = 3.0, low: float = 4, high: float = 5, days: int = 7) -> str:
     source = f"select first_hour, last_hour, peak_hour, peak_activity, round(z, 3) as z from b"
@@ -45,12 +31,6 @@ def al_burst(d: Dialect, z: float = 3.0, low: float = 4, high: float = 5, days:
     return f"with {bursts(d, z, days)} {body}"
 
 
-@operator("al_push", hours=12, critical=1.5, high=1.0, medium=0.3)
-def al_push(d: Dialect, hours: float = 2, critical: float = 10, high: float = 8, medium: float = 5) -> str:
-    source = f"select narrative_id, post_id, authors, authors / ({float(hours)} + 0.1) as score from ({windows(d, hours, 3, 7)}) w"
-    return graded(d, f"select narrative_id, post_id, authors, round(score, 4) as score from ({source}) s", "narrative_push", [(f"score > {d.lit(critical)}", "critical"), (f"score > {d.lit(high)}", "high"), (f"score > {d.lit(medium)}", "medium")], "least(score / 12, 1.0)")
-
-
 @operator("al_behavior", threshold=0.05, medium=0.4)
 def al_behavior(d: Dialect, threshold: float = 0.5, medium: float = 0.7) -> str:
     from .fingerprints import change
@@ -58,13 +38,6 @@ def al_behavior(d: Dialect, threshold: float = 0.5, medium: float = 0.7) -> str:
     return f"select 'behavior_change' as alert_type, author_name, case when max(delta) >= {d.lit(medium)} then 'medium' else 'low' end as severity, round(max(delta), 4) as max_delta, count(*) as changes from ({change(d, threshold)}) c group by author_name"
 
 
-@operator("al_bot_farm", threshold=0.8)
-def al_bot_farm(d: Dialect, least: int = 10, threshold: float = 0.95) -> str:
-    """Authors with many near-equal rhythms, by their least leader."""
-    return f"""select 'bot_farm' as alert_type, author1 as leader, count(*) + 1 as members, case when min(similarity) > {d.lit(threshold)} + 0.02 then 'high' else 'medium' end as severity from ({profile_pairs(d, least)}) p where similarity > {d.lit(threshold)}
-        group by author1 having count(*) >= 2"""
-
-
 @operator("al_dup_check")
 def dup_check(d: Dialect, hours: float = 24, least: float = 0.7) -> str:
     """Alerts that repeat an earlier active one of the same type with nearly the same authors."""

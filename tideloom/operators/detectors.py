@@ -6,6 +6,7 @@ Candidates come from declarative plans.  The greedy part then runs for one conne
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,13 +14,16 @@ import pandas as pd
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.registry import Engine
+from ..functions.dialect import Spark
+from ..plans.registry import Engine, doubles
 from ..store import stored
 from . import fingerprints, graphs
 from .matrices import combined
+from .narratives import windows
+from .relational import theta_pairs
 
 
 def sync_posting(engine: Engine, minutes: int = 30, threshold: float = 0.7, least: int = 3, k: int = 30, as_of: str | None = None) -> DataFrame:
@@ -58,7 +62,7 @@ def sync_posting(engine: Engine, minutes: int = 30, threshold: float = 0.7, leas
 
 def clusters(engine: Engine, threshold: float = 0.3, least: int = 3, k: int = 20) -> DataFrame:
     """Communities of the combined similarity of authors: cohesion (mean weight times density) and score."""
-    pairs = engine.spark.sql(f"select author1 as a, author2 as b, value as weight from ({combined(engine.dialect())}) c where value > {float(threshold)}")
+    pairs = combined_matrix(engine).select(F.col("author1").alias("a"), F.col("author2").alias("b"), F.col("value").alias("weight")).filter(F.col("value") > threshold)
     pairs = stored(pairs, "cluster-pairs")
     of = graphs.communities(pairs)
     a, b = of.select(F.col("author_name").alias("a"), F.col("community").alias("ca")), of.select(F.col("author_name").alias("b"), F.col("community").alias("cb"))
@@ -97,8 +101,10 @@ def identify_narratives(engine: Engine, days: float = 7, eps: float = 0.3, min_s
     """Density clusters of recent posts: neighbours within ``eps`` cosine distance, core posts, components over core
     links, border posts with their nearest core.  Returns id, members, first and last time, and top words."""
     recent = engine.run("nv_recent_embeddings", as_of=as_of, days=days).select("id")
-    pairs = engine.run("jn_theta_pairs", as_of=as_of, threshold=1 - eps)
-    kept = pairs.join(recent.select(F.col("id").alias("id1")), "id1", "left_semi").join(recent.select(F.col("id").alias("id2")), "id2", "left_semi")
+    vectors = stored(engine.tables["embs"].join(recent, F.col("content_id") == F.col("id"), "left_semi").select("content_id", "embedding"), "narrative-vectors")
+    vectors.createOrReplaceTempView(view := f"recent_{uuid.uuid4().hex}")
+    d = engine.dialect()
+    kept = engine.spark.sql(doubles(theta_pairs(Spark({**d._relations, "embs": view}, d.now), 1 - eps)))
     both = stored(kept.select(F.col("id1").alias("x"), F.col("id2").alias("y"), "similarity").union(kept.select("id2", "id1", "similarity")), "narrative-near")
     core = both.groupBy("x").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= min_samples).select("x")
     links = both.join(core, "x", "left_semi").join(core.select(F.col("x").alias("y")), "y", "left_semi").filter("x < y")
@@ -121,20 +127,33 @@ def insights_stop() -> list[str]:
     return STOP_WORDS
 
 
-def pushes(engine: Engine, hours: float = 2, least: int = 3, days: float = 7, k: int = 30) -> DataFrame:
-    """Pushes by falling score; one that begins inside a better one of its narrative is dropped."""
-    found = engine.run("nv_pushes", hours=hours, least=least, days=days)
+def pushes(engine: Engine, hours: float = 2, least: int = 3, days: float = 7, k: int = 30, min_fingerprint: float = 0.7) -> DataFrame:
+    """Pushes by falling score; one that begins inside a better one of its narrative is dropped.
+
+    The score is authors by hour; authors whose fingerprints are alike on average raise it by that likeness.
+    """
+    d = engine.dialect()
+    found = stored(engine.spark.sql(doubles(f"select narrative_id, post_id, start_time, authors, posts, names, last_t, authors / ({float(hours)} + 0.1) as base from ({windows(d, hours, least, days)}) w")), "push-windows")
+    one = found.select("narrative_id", "post_id", F.explode(F.split("names", ",")).alias("author1"))
+    alike = engine.run("fp_similarity")
+    two = one.join(one.withColumnRenamed("author1", "author2"), ["narrative_id", "post_id"]).filter("author1 < author2").join(alike, ["author1", "author2"])
+    mean = two.groupBy("narrative_id", "post_id").agg(F.avg("similarity").alias("fingerprint"))
+    raised = F.when(F.col("fingerprint") > min_fingerprint, 1 + F.col("fingerprint")).otherwise(F.lit(1.0))
+    scored = found.join(mean, ["narrative_id", "post_id"], "left").select(
+        "narrative_id", "post_id", "start_time", F.timestamp_micros("last_t").cast("timestamp_ntz").alias("end_time"), F.col("names").alias("members"), "authors", "posts",
+        F.round("fingerprint", 3).alias("fingerprint_similarity"), F.round(F.col("base") * raised, 2).alias("coordination_score"),
+    )
 
     def keep(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["coordination_score", "start_time", "post_id"], ascending=[False, True, True])
         out, taken = [], []
         for row in frame.itertuples(index=False):
-            if not any(a <= row.start_time <= a + pd.Timedelta(hours=hours) for a in taken):
-                taken.append(row.start_time)
+            if not any(a <= row.start_time <= b for a, b in taken):
+                taken.append((row.start_time, row.end_time))
                 out.append(row)
         return pd.DataFrame(out, columns=frame.columns)
 
-    return found.groupBy("narrative_id").applyInPandas(keep, found.schema).orderBy(F.desc("coordination_score"), "narrative_id", "start_time").limit(k)
+    return scored.groupBy("narrative_id").applyInPandas(keep, scored.schema).orderBy(F.desc("coordination_score"), "narrative_id", "start_time").limit(k)
 
 
 # ---- machine learning ----------------------------------------------------------------------------------------
@@ -172,7 +191,7 @@ def best_kmeans(rows: DataFrame, k: int, starts: int, seed: int = 42) -> DataFra
     return made.withColumn("distance", far)
 
 
-def content_clusters(engine: Engine, k: int = 10, starts: int = 3) -> DataFrame:
+def content_clusters(engine: Engine, k: int = 10, starts: int = 10) -> DataFrame:
     """cluster and its posts, by KMeans over post vectors."""
     rows = engine.tables["embs"].filter("content_type = 'post'").select("content_id", F.col("embedding").cast("array<double>").alias("v"))
     return best_kmeans(rows, k, starts).select("content_id", F.col("prediction").alias("cluster"))
@@ -205,7 +224,8 @@ def topic_matrix(engine: Engine, topics: int = 20, vocabulary: int = 5000, itera
     """author_name, topic, label (three top words), share: LDA over each author's texts, all of them in each iteration; too few authors give no rows."""
     texts = engine.tables["activity"].filter("content is not null and author_name is not null").groupBy("author_name").agg(F.array_join(F.collect_list("content"), " ").alias("text"))
     words = StopWordsRemover(inputCol="all", outputCol="words").transform(RegexTokenizer(inputCol="text", outputCol="all", pattern=r"[^\p{L}]+", minTokenLength=2).transform(texts))
-    words = stored(words.select("author_name", "words"), "topic-words")
+    # the same rows in the same order each time, so that the same topics are learned
+    words = stored(words.select("author_name", F.sort_array("words").alias("words")).repartition(F.col("author_name")).sortWithinPartitions("author_name"), "topic-words")
     n = words.count()
     if n < 2:
         return engine.spark.createDataFrame([], "author_name string, topic int, label string, share double")
@@ -219,6 +239,13 @@ def topic_matrix(engine: Engine, topics: int = 20, vocabulary: int = 5000, itera
     return out.select("author_name", "topic", label.alias("label"), "share")
 
 
+def combined_matrix(engine: Engine, alpha: float = 0.4, beta: float = 0.3, gamma: float = 0.3, topics: DataFrame | None = None) -> DataFrame:
+    """author1, author2, value: weighted cosines of interactions, rhythms and topics; ``topics`` (author_name, topic, share) is learned where it is not given."""
+    topics = stored((topic_matrix(engine) if topics is None else topics).select("author_name", "topic", "share"), "combined-topics")
+    topics.createOrReplaceTempView(view := f"topics_{uuid.uuid4().hex}")
+    return engine.spark.sql(doubles(combined(engine.dialect(), alpha, beta, gamma, view)))
+
+
 # ---- jobs ----------------------------------------------------------------------------------------------------
 
 
@@ -253,15 +280,53 @@ def all_narratives(engine: Engine) -> DataFrame:
     return run_each(engine, {"nv_identify": lambda: identify_narratives(engine), "nv_pushes": lambda: pushes(engine)})
 
 
+def graded(found: DataFrame, kind: str, grades: list[tuple[Column, str]], confidence: Column) -> DataFrame:
+    """Findings that reach a grade (condition, severity), the first that holds, as alerts."""
+    severity = F.coalesce(*(F.when(condition, F.lit(name)) for condition, name in grades))
+    return found.select(F.lit(kind).alias("alert_type"), *found.columns, severity.alias("severity"), F.round(confidence, 4).alias("confidence")).filter("severity is not null")
+
+
+def sync_alerts(engine: Engine, low: float = 5, high: float = 10, **search: object) -> DataFrame:
+    """From groups of synchronised posts."""
+    score = F.col("score")
+    found = sync_posting(engine, **search).select("seed", "authors", "n_posts", "similarity", "spread_minutes", "score")
+    return graded(found, "synchronized_posting", [(score > high, "high"), (score > low, "medium")], F.least(score / 15, F.lit(1.0)))
+
+
+def cluster_alerts(engine: Engine, low: float = 8, high: float = 12, **search: object) -> DataFrame:
+    """From clusters of coordinated authors; the first 20 are named."""
+    score = F.col("score")
+    found = clusters(engine, **search).select("cluster_id", F.array_join(F.slice(F.split("members", ","), 1, 20), ",").alias("authors"), "n", "cohesion", "score")
+    return graded(found, "coordination_cluster", [(score > high, "high"), (score > low, "medium")], F.least(score / 15, F.lit(1.0)))
+
+
+def push_alerts(engine: Engine, critical: float = 10, high: float = 8, medium: float = 5, alike: float = 0.8, **search: object) -> DataFrame:
+    """From coordinated pushes; critical only where the authors' fingerprints are alike too."""
+    score, same = F.col("coordination_score"), F.coalesce("fingerprint_similarity", F.lit(0.0))
+    found = pushes(engine, **search).select("narrative_id", "post_id", F.col("members").alias("authors"), "fingerprint_similarity", "coordination_score")
+    return graded(found, "narrative_push", [((score > critical) & (same > alike), "critical"), (score > high, "high"), (score > medium, "medium")], F.least(score / 12, F.lit(1.0)))
+
+
+def bot_farm_alerts(engine: Engine, **search: object) -> DataFrame:
+    """From groups of like rhythms, by the number of their signals; the first 20 are named."""
+    signals = F.col("signals")
+    found = bot_farms(engine, **search).select("leader", F.array_join(F.slice(F.split("members", ","), 1, 20), ",").alias("authors"), "n", "signals")
+    return graded(found, "bot_farm", [(signals >= 2, "high"), (signals >= 1, "medium")], F.least(signals / 3, F.lit(1.0)))
+
+
+#: Rules over detectors; the others are plans of the same names.
+DETECTED = {"al_sync": sync_alerts, "al_cluster": cluster_alerts, "al_push": push_alerts, "al_bot_farm": bot_farm_alerts}
 ALERT_RULES = ("al_sockpuppet", "al_sync", "al_cluster", "al_burst", "al_push", "al_behavior", "al_bot_farm")
 
 
 def all_alerts(engine: Engine, tests: dict[str, dict] | None = None) -> DataFrame:
     """rule, severity, alerts of the seven rules."""
-    parts = [engine.run(rule, **(tests or {}).get(rule, {})).groupBy("severity").agg(F.count("*").alias("alerts")).select(F.lit(rule).alias("rule"), "severity", "alerts") for rule in ALERT_RULES]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = None
+    for rule in ALERT_RULES:
+        params = (tests or {}).get(rule, {})
+        found = DETECTED[rule](engine, **params) if rule in DETECTED else engine.run(rule, **params)
+        part = found.groupBy("severity").agg(F.count("*").alias("alerts")).select(F.lit(rule).alias("rule"), "severity", "alerts")
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -29,9 +29,9 @@ def fp_temporal(d: Dialect) -> str:
 
 def fp_vocab(d: Dialect) -> str:
     words = d.values([(w, i) for i, w in enumerate(VOCABULARY)], ["w", "dim"])
-    return f"""select t.author_name, v.dim, count(*) * 1.0 / max(n.total) as v from (select author_name, {d.explode(d.tokens('content', 3, 15))} as word from {d.activity} where content is not null) t
-        join (select author_name, count(*) as total from (select author_name, {d.explode(d.tokens('content', 3, 15))} as word from {d.activity} where content is not null) x group by author_name) n on n.author_name = t.author_name
-        join {words} v on v.w = t.word group by t.author_name, v.dim"""
+    # every word is read once; at most a hundred and one sums an author go on
+    sums = f"select t.author_name, v.dim, count(*) as n from (select author_name, {d.explode(d.tokens('content', 3, 15))} as word from {d.activity} where content is not null) t left join {words} v on v.w = t.word group by t.author_name, v.dim"
+    return f"select author_name, dim, n * 1.0 / total as v from (select author_name, dim, n, sum(n) over (partition by author_name) as total from ({sums}) s) w where dim is not null and author_name is not null"
 
 
 def long_of(names: list[str], source: str, d: Dialect) -> str:
@@ -56,8 +56,9 @@ def fp_interaction(d: Dialect) -> str:
 
 
 def style_wide(d: Dialect) -> str:
-    marks = {"dots": "[.]", "commas": "[,]", "asks": "[?]", "shouts": "[!]", "caps": r"\p{Lu}", "urls": "https?://", "fences": "`{3}", "emoji": "[\U0001f300-\U0001f9ff]", "breaks": r"\n", "quotes": r"[\x22\x27]", "numbers": "[0-9]+", "parens": "[()]", "lists": r"(?m)^[-*0-9.]\s"}
-    sums = ", ".join(f"sum({d.count_matches('content', p)}) as {k}" for k, p in marks.items())
+    fixed = {"dots": ["."], "commas": [","], "asks": ["?"], "shouts": ["!"], "urls": ["http://", "https://"], "fences": ["```"], "breaks": ["\n"], "quotes": ['"', "'"], "parens": ["(", ")"]}
+    patterns = {"caps": r"\p{Lu}", "emoji": "[\U0001f300-\U0001f9ff]", "numbers": "[0-9]+", "lists": r"(?m)^[-*0-9.]\s"}
+    sums = ", ".join([*(f"sum({' + '.join(d.count_of('content', text) for text in texts)}) as {k}" for k, texts in fixed.items()), *(f"sum({d.count_matches('content', p)}) as {k}" for k, p in patterns.items())])
     t = "nullif(chars, 0)"
     # a list mark counts at the start of a line of the author's joined text, so that of each text but the first may follow a blank
     return f"""select author_name, least(mean_len / 1000, 1.0) as d0, case when n > 1 then least(std_len / 500, 1.0) else 0.0 end as d1,
@@ -153,10 +154,10 @@ def similar(d: Dialect, author: str = "", k: int = 10) -> str:
 
 @operator("fp_change", threshold=0.05)
 def change(d: Dialect, threshold: float = 0.5) -> str:
-    """Change between consecutive weekly temporal fingerprints of an author."""
+    """Change between the temporal fingerprints of an author's consecutive active weeks, from Monday on, over any number of years."""
     from .relational import hour_of_week
 
-    day = d.idiv("extract(doy from created_at)", "7")
+    day = f"date_trunc('week', created_at)"
     return f"""with h as (select author_name, {day} as week, {hour_of_week(d)} % 24 as k, count(*) * 1.0 as v from {d.activity} where author_name is not null group by 1, 2, 3),
         w as (select author_name, week, lag(week) over (partition by author_name order by week) as before from (select distinct author_name, week from h) x),
         n as (select author_name, week, sqrt(sum(v * v)) as norm from h group by author_name, week),

@@ -56,33 +56,6 @@ def triangles(d: Dialect, days: float = 30) -> str:
     return f"with u as ({undirected(d, days)}) select count(*) as triangles from u p join u q on p.b = q.a join u r on r.a = p.a and r.b = q.b"
 
 
-def pagerank_steps(d: Dialect, days: float, steps: int, damping: float) -> str:
-    """Weighted PageRank unrolled to a fixed number of steps; authors without replies spread theirs evenly."""
-    out = f"""with e as ({built(d, days)}), v as (select src as id from e union select dst from e), n as (select count(*) as n from v), o as (select src, sum(weight) as total from e group by src),
-        t as (select e.src, e.dst, e.weight * 1.0 / o.total as share from e join o on o.src = e.src), r0 as (select v.id, 1.0 / n.n as rank from v cross join n)"""
-    for k in range(steps):
-        out += f""", m{k} as (select coalesce(sum(r.rank), 0) as lost from r{k} r left join o on o.src = r.id where o.src is null),
-        i{k} as (select t.dst as id, sum(r.rank * t.share) as got from t join r{k} r on r.id = t.src group by t.dst),
-        r{k + 1} as (select v.id, {1 - damping} / n.n + {damping} * (coalesce(i.got, 0) + m.lost / n.n) as rank from v cross join n cross join m{k} m left join i{k} i on i.id = v.id)"""
-    return out + f" select id as author_name, round(rank, 6) as pagerank from r{steps}"
-
-
-@operator("gr_pagerank_steps", steps=3)
-def gr_pagerank_steps(d: Dialect, days: float = 30, steps: int = 20, damping: float = 0.85) -> str:
-    return pagerank_steps(d, days, steps, damping)
-
-
-@operator("gr_eigenvector_steps", steps=3)
-def gr_eigenvector_steps(d: Dialect, days: float = 30, steps: int = 20) -> str:
-    out = f"with s as ({both_ways(d, days)}), r0 as (select x as id, 1.0 as v from s group by x)"
-    for k in range(steps):
-        out += f", g{k} as (select r.id, max(r.v) + sum(s.w * q.v) as v from r{k} r join s on s.x = r.id join r{k} q on q.id = s.y group by r.id), r{k + 1} as (select id, v / (select sqrt(sum(v * v)) from g{k}) as v from g{k})"
-    return out + f" select id as author_name, round(v, 5) as eigenvector from r{steps}"
-
-
-# ---- loops ---------------------------------------------------------------------------------------------------
-
-
 def graph(engine: Engine, days: float = 30) -> tuple[DataFrame, DataFrame]:
     """Directed (src, dst, weight) and undirected (a, b, weight) edges of a window, written once."""
     return stored(engine.run("gr_build", days=days), "reply-graph"), stored(engine.run("gr_undirected", days=days), "reply-pairs")
@@ -142,21 +115,57 @@ def connected(pairs: DataFrame, most: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def communities(pairs: DataFrame, most: int = 20) -> DataFrame:
-    """author_name, community by weighted label spreading: each round half of the authors take the label with the most weight around them."""
-    s = stored(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").union(pairs.select("b", "a", "weight")), "community-edges")
-    now = stored(s.select(F.col("x").alias("id")).distinct().withColumn("label", F.col("id")), "community-step")
+def local_moves(s: DataFrame, total: float, most: int) -> DataFrame:
+    """id, label: each node starts alone and moves to the neighbouring community of the largest modularity gain, while any gains.
+
+    ``s`` has the edges both ways (x, y, weight), with twice the inner weight of a merged node as (x, x).  In each round
+    half of the nodes, drawn by a hash of node and round, may move, so that neighbours seldom swap places; a level ends after ``most``
+    rounds, and the next one goes on with what it left.
+    """
+    strength = stored(s.groupBy(F.col("x").alias("id")).agg(F.sum("weight").alias("k")), "community-strength")
+    links = stored(s.filter("x <> y"), "community-links")
+    now = strength.select("id", "k", F.col("id").alias("label"))
     still = 0
     for step in range(most):
-        votes = s.join(now.select(F.col("id").alias("y"), "label"), "y").groupBy(F.col("x").alias("id"), "label").agg(F.sum("weight").alias("w"))
-        best = votes.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("w"), "label"))).filter("r = 1").select("id", F.col("label").alias("best"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == step % 2
-        nxt = stored(now.withColumnRenamed("label", "before").join(best, "id").select("id", "before", F.when(turn, F.col("best")).otherwise(F.col("before")).alias("label")), "community-step")
-        still = still + 1 if nxt.filter("label <> before").isEmpty() else 0
-        now = nxt.drop("before")
-        if still == 2:
+        sums = now.groupBy(F.col("label").alias("to")).agg(F.sum("k").alias("of_label"))
+        into = links.join(now.select(F.col("id").alias("y"), F.col("label").alias("to")), "y").groupBy(F.col("x").alias("id"), "to").agg(F.sum("weight").alias("w"))
+        stay = now.select("id", F.col("label").alias("to"), F.lit(0.0).alias("w"))
+        choices = into.unionByName(stay).groupBy("id", "to").agg(F.sum("w").alias("w")).join(now, "id").join(sums, "to")
+        others = F.col("of_label") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(F.lit(0.0))
+        gain = F.round(F.col("w") - F.col("k") * others / total, 9)
+        # of equal gains the own label comes first, then the least
+        best = choices.groupBy("id", "k", "label").agg(F.max_by("to", F.struct(gain, F.col("to") == F.col("label"), -F.xxhash64("to"))).alias("best"))
+        turn = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0
+        nxt = stored(best.select("id", "k", F.col("label").alias("before"), F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"), (F.col("best") != F.col("label")).alias("wants")), "community-step")
+        still = nxt.filter("wants").isEmpty()
+        now = nxt.select("id", "k", "label")
+        if still:
+            break
+    return now.select("id", "label")
+
+
+def communities(pairs: DataFrame, most_rounds: int = 10, most_levels: int = 20) -> DataFrame:
+    """author_name, community by modularity: local moves, then the communities are merged to nodes, until nothing moves.
+
+    A community bears its least member's name.
+    """
+    s = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("weight").cast("double").alias("weight"))
+    s = stored(s.union(s.select("y", "x", "weight")), "community-edges")
+    total = s.agg(F.sum("weight")).first()[0] or 1.0
+    of = stored(s.select(F.col("x").alias("author_name")).distinct().withColumn("node", F.col("author_name")), "community-of")
+    n = of.count()
+    for _ in range(most_levels):
+        moved = local_moves(s, total, most_rounds)
+        of = stored(of.join(moved, F.col("node") == F.col("id")).select("author_name", F.col("label").alias("node")), "community-of")
+        left = of.select("node").distinct().count()
+        if left == n:
             break
-    return now.select(F.col("id").alias("author_name"), F.col("label").alias("community"))
+        n = left
+        to = moved.withColumnRenamed("label", "to")
+        merged = s.join(to.withColumnRenamed("id", "x"), "x").select(F.col("to").alias("x"), "y", "weight").join(to.withColumnRenamed("id", "y"), "y")
+        s = stored(merged.groupBy("x", F.col("to").alias("y")).agg(F.sum("weight").alias("weight")), "community-edges")
+    names = of.groupBy("node").agg(F.min("author_name").alias("community"))
+    return of.join(names, "node").select("author_name", "community")
 
 
 def modularity(pairs: DataFrame, groups: DataFrame) -> DataFrame:

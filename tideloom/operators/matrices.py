@@ -45,7 +45,7 @@ def row_temporal(d: Dialect, author: str = "") -> str:
     return f"select how, round(share, 6) as value from ({temporal(d)}) t where author_name = {d.lit(author)}"
 
 
-@operator("mx_similar_content", content_id=3, threshold=0.2)
+@operator("mx_similar_content", content_id=7, threshold=0.2)
 def similar_content(d: Dialect, content_id: int = 0, threshold: float = 0.7, k: int = 10) -> str:
     """The true k nearest of a post (the matrix has no diagonal, so nothing is skipped)."""
     return f"select col_label, value from ({content_sim(d, threshold)}) m where row_label = {d.lit(content_id)} order by value desc, col_label limit {int(k)}"
@@ -58,17 +58,29 @@ def unit_product(d: Dialect, name: str, rows: str) -> str:
         {name}_c as (select a.author as x, b.author as y, sum(a.v * b.v) as s from {name}_u a join {name}_u b on a.k = b.k and a.author < b.author group by a.author, b.author)"""
 
 
-def combined(d: Dialect, alpha: float = 0.4, beta: float = 0.3) -> str:
+def combined(d: Dialect, alpha: float = 0.4, beta: float = 0.3, gamma: float = 0.3, topics: str | None = None) -> str:
     """Weighted cosines of the interaction and temporal rows of authors that have both; all columns count.
 
-    A topic matrix adds its part where one is given; here it has none.
+    ``topics`` names a relation (author_name, topic, share) that adds its part; without one there is none.
     """
     inter = f"select src as author, dst as k, cast(w as double) as v from {d.edges}"
     temp = f"select author_name as author, how as k, cast(share as double) as v from ({temporal(d)}) t where author_name in (select src from {d.edges})"
+    if topics:
+        more = f"select author_name as author, topic as k, cast(share as double) as v from {topics}"
+        return f"""with {unit_product(d, 'i', inter)}, {unit_product(d, 't', temp)}, {unit_product(d, 'p', more)}
+            select t_c.x as author1, t_c.y as author2, {alpha} * coalesce(i_c.s, 0) + {beta} * t_c.s + {gamma} * coalesce(p_c.s, 0) as value from t_c
+            left join i_c on i_c.x = t_c.x and i_c.y = t_c.y left join p_c on p_c.x = t_c.x and p_c.y = t_c.y"""
     return f"""with {unit_product(d, 'i', inter)}, {unit_product(d, 't', temp)}
         select t_c.x as author1, t_c.y as author2, {alpha} * coalesce(i_c.s, 0) + {beta} * t_c.s as value from t_c left join i_c on i_c.x = t_c.x and i_c.y = t_c.y"""
 
 
-@operator("mx_combined")
-def mx_combined(d: Dialect, alpha: float = 0.4, beta: float = 0.3) -> str:
-    return f"select author1, author2, round(value, 4) as value from ({combined(d, alpha, beta)}) c"
+def community_shares(d: Dialect) -> str:
+    """Each author's shares of communities: a topic matrix that is counted, not learned."""
+    return f"(select author_name, submolt as topic, count(*) * 1.0 / sum(count(*)) over (partition by author_name) as share from {d.posts} where author_name is not null group by author_name, submolt) shares"
+
+
+@operator("mx_combined", counted_topics=True)
+def mx_combined(d: Dialect, alpha: float = 0.4, beta: float = 0.3, gamma: float = 0.3, topics: str | None = None, counted_topics: bool = False) -> str:
+    """``topics`` names a learned topic matrix; ``counted_topics`` takes the shares of communities for one."""
+    topics = topics or (community_shares(d) if counted_topics else None)
+    return f"select author1, author2, round(value, 4) as value from ({combined(d, alpha, beta, gamma, topics)}) c"

@@ -399,7 +399,7 @@ def range_sym(d: Dialect, minutes: int = 30, threshold: float = 0.7) -> str:
         where abs({d.micros('a.created_at')} - {d.micros('b.created_at')}) <= {span} and {d.cosine('a.embedding', 'b.embedding')} >= {d.lit(threshold)}"""
 
 
-@operator("jn_range_time_fwd")
+@operator("jn_range_time_fwd", hours=96)
 def range_fwd(d: Dialect, hours: float = 2) -> str:
     span = int(hours * 3_600_000_000)
     return f"""with n as (select n.narrative_id, n.post_id, {d.micros('n.created_at')} as t, {d.idiv(d.micros('n.created_at'), str(span))} as b from {d.narrative_posts} n),

@@ -29,29 +29,29 @@ def ranked(d: Dialect, content_id: int, content_type: str | None, despam: bool,
     return f"select * from (select *, row_number() over (partition by {key} order by s desc, content_id) as r from ({scored}) y) z where r = 1"
 
 
-@operator("vx_search", content_id=3)
+@operator("vx_search", content_id=7)
 def search(d: Dialect, content_id: int = 0, content_type: str | None = None, despam: bool = True, k: int = 10) -> str:
     """Nearest content: spam goes first, then copies, then the k best are cut."""
     return f"select content_id, content_type, title, substr(content, 1, 500) as content, author_name, round(s, 4) as similarity from ({ranked(d, content_id, content_type, despam, True)}) x order by s desc, content_id limit {int(k)}"
 
 
-@operator("vx_search_cli", content_id=3)
+@operator("vx_search_cli", content_id=7)
 def search_cli(d: Dialect, content_id: int = 0, k: int = 10) -> str:
     return f"select content_id, substr(case when title <> '' then title else content end, 1, 200) as text, round(s, 4) as similarity from ({ranked(d, content_id, None, False, False)}) x order by s desc, content_id limit {int(k)}"
 
 
-@operator("vx_export", content_id=3)
+@operator("vx_export", content_id=7)
 def export(d: Dialect, content_id: int = 0, content_type: str | None = None, k: int = 100) -> str:
     return f"select content_id, content_type, title, substr(content, 1, 1000) as content, author_name, round(s, 4) as similarity from ({ranked(d, content_id, content_type, True, True)}) x order by s desc, content_id limit {int(k)}"
 
 
-@operator("vx_similar", content_id=8)
+@operator("vx_similar", content_id=7)
 def similar(d: Dialect, content_id: int = 0, k: int = 5) -> str:
     return f"""select p.id, substr(p.title, 1, 60) as title, p.author_name, round({d.cosine('e.embedding', 'q.q')}, 4) as similarity from {d.embs} e join {d.posts} p on p.id = e.content_id cross join {query_vector(d, content_id)} q
         where e.content_id <> {d.lit(content_id)} order by {d.cosine('e.embedding', 'q.q')} desc, p.id limit {int(k)}"""
 
 
-@operator("vx_trends", content_id=3, threshold=0.2)
+@operator("vx_trends", content_id=7, threshold=0.2)
 def trends(d: Dialect, content_id: int = 0, threshold: float = 0.6) -> str:
     return f"select p.id, p.created_at, round({d.cosine('e.embedding', 'q.q')}, 4) as similarity from {d.embs} e join {d.posts} p on p.id = e.content_id cross join {query_vector(d, content_id)} q where {d.cosine('e.embedding', 'q.q')} > {d.lit(threshold)}"
 

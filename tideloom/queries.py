@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from .plans.registry import OPERATORS, Engine
 from .sources import archive, http
 from .store import shared_folder
 from .streaming import jobs
-from .tables import bound_tables
+from .tables import bound_tables, duck_ctes
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
@@ -121,8 +119,8 @@ def src_http_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New items, merged into a table by id."""
     out = shared_folder(spark, "synced")
-    jobs.run_available(_stream(spark, page=25, most=500), "append", lambda batch, n: jobs.upsert(batch.withColumn("v", F.lit(n)), out, "id", "v"))
-    return spark.read.parquet(out)
+    jobs.run_available(_stream(spark, page=25), "append", lambda batch, n: jobs.upsert(batch.withColumn("v", F.lit(n)), out, "id", "v"))
+    return jobs.read_table(spark, out)
 
 
 def src_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +129,65 @@ def src_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(folder).select(F.regexp_extract("value", "<title>([^<]*)</title>", 1).alias("title"))
 
 
+def src_comments_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments that lie in maps from post to list, written and read as files: the key becomes the post."""
+    folder = shared_folder(spark, "comments")
+    comments = bound_tables(spark, sf_dir)["comments"]
+    listed = comments.groupBy("post_id").agg(F.collect_list(F.struct(F.col("id").cast("string").alias("id"), F.struct(F.col("author_name").alias("name")).alias("author"))).alias("list"))
+    listed.select(F.to_json(F.create_map(F.col("post_id").cast("string"), "list")).alias("value")).write.text(folder)
+    return archive.read_comments(spark, folder).select(F.col("post_id").cast("long").alias("post_id"), F.col("id").cast("long").alias("id"), "author_name")
+
+
+def src_objectstore_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All JSON files under the prefixes of a store, as one table."""
+    folder, t = shared_folder(spark, "store"), bound_tables(spark, sf_dir)
+    for name in ("posts", "comments"):
+        archive.write_json(t[name].select("id", "author_name", F.col("created_at").cast("string").alias("created_at")), f"{folder}/{name}")
+    merged = archive.read_json(spark, f"{folder}/*/*.json", "id long, author_name string, created_at string")
+    return merged.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+def snk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rows replace old ones of the same key in a stored table."""
+    out, posts = shared_folder(spark, "upsert"), bound_tables(spark, sf_dir)["posts"]
+    jobs.upsert(posts.select("id", "upvotes", F.lit(0).alias("version")), out, "id", "version")
+    jobs.upsert(posts.filter("id % 3 = 0").select("id", (F.col("upvotes") + 1000).alias("upvotes"), F.lit(1).alias("version")), out, "id", "version")
+    return jobs.read_table(spark, out)
+
+
+def snk_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches appended to a stored table."""
+    out, posts = shared_folder(spark, "append"), bound_tables(spark, sf_dir)["posts"]
+    for batch, odd in ((1, 0), (2, 1)):
+        posts.filter(F.col("id") % 2 == odd).select("author_name", F.lit(batch).alias("batch")).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
+def snk_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows found on the other side take its value."""
+    out, t = shared_folder(spark, "update"), bound_tables(spark, sf_dir)
+    ids = t["posts"].select("id")
+    jobs.upsert(ids.select("id", F.lit(False).alias("has_embedding"), F.lit(0).alias("v")), out, "id", "v")
+    found = ids.join(t["embs"].select(F.col("content_id").alias("id")).distinct(), "id", "left_semi")
+    jobs.upsert(found.select("id", F.lit(True).alias("has_embedding"), F.lit(1).alias("v")), out, "id", "v")
+    return jobs.read_table(spark, out).drop("v")
+
+
+def snk_json_append_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id the stored table lacks are appended."""
+    out, posts = shared_folder(spark, "dedup"), bound_tables(spark, sf_dir)["posts"]
+    archive.append_new(posts.filter("rn % 2 = 0").select("id", F.lit("old").alias("part")), out)
+    archive.append_new(posts.select("id", F.lit("new").alias("part")), out)
+    return spark.read.parquet(out)
+
+
+def snk_matrix_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of a matrix that was saved and loaded."""
+    folder, engine = shared_folder(spark, "matrices"), _engine(spark, sf_dir)
+    archive.save_matrix(engine.run("mx_interaction"), folder, "interaction")
+    return archive.matrix_info(spark, folder, "interaction")
+
+
 def snk_json_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "json")
     archive.write_json(bound_tables(spark, sf_dir)["posts"].select("id", "title"), folder)
@@ -233,6 +290,16 @@ def gr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.summary(_engine(spark, sf_dir))
 
 
+# Parameters under which the test tables give rows.
+PUSHES = {"hours": 240, "days": 30}
+ALERT_TESTS = {
+    "al_sync": {"low": 0.02, "high": 0.1, "minutes": 120, "threshold": 0.1, "as_of": "2024-01-05 00:00:00"},
+    "al_cluster": {"low": 0.1, "high": 0.5},
+    "al_push": {"critical": 0.05, "high": 0.02, "medium": 0.01, "alike": 0.5, **PUSHES},
+    "al_bot_farm": {"threshold": 0.85},
+}
+
+
 # ---- detectors and learning ----------------------------------------------------------------------------------
 
 
@@ -261,7 +328,7 @@ def nv_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nv_pushes_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.pushes(_engine(spark, sf_dir), hours=12)
+    return detectors.pushes(_engine(spark, sf_dir), **PUSHES)
 
 
 def nv_run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +341,23 @@ def al_create(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def al_run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.all_alerts(_engine(spark, sf_dir), {rule: OPERATORS[rule].test for rule in detectors.ALERT_RULES})
+    return detectors.all_alerts(_engine(spark, sf_dir), {rule: ALERT_TESTS.get(rule) or OPERATORS[rule].test for rule in detectors.ALERT_RULES})
+
+
+def al_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.sync_alerts(_engine(spark, sf_dir), **ALERT_TESTS["al_sync"])
+
+
+def al_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.cluster_alerts(_engine(spark, sf_dir), **ALERT_TESTS["al_cluster"])
+
+
+def al_push(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.push_alerts(_engine(spark, sf_dir), **ALERT_TESTS["al_push"])
+
+
+def al_bot_farm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.bot_farm_alerts(_engine(spark, sf_dir), **ALERT_TESTS["al_bot_farm"])
 
 
 def vx_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,21 +446,32 @@ def ss_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late rows within the watermark change their window in update mode; the last state of each window."""
     out = shared_folder(spark, "late")
     jobs.run_available(jobs.tumbling(_events(spark, sf_dir), late="7 days"), "update", lambda batch, n: jobs.upsert(batch.withColumn("v", F.lit(n)), out, "start", "v"))
-    return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("hour"), "n")
+    return jobs.read_table(spark, out).select(F.col("start").cast("timestamp_ntz").alias("hour"), "n")
 
 
 def ss_microbatch_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "upserted")
     rows = _events(spark, sf_dir).select((F.col("event_id") % 100).alias("key"), "event_id")
     jobs.run_available(rows, "append", lambda batch, _: jobs.upsert(batch, out, "key", "event_id"))
-    return spark.read.parquet(out)
+    return jobs.read_table(spark, out)
 
 
 _OTHER = {"fake_interface"}
 QUERIES = {name: f for name, f in globals().items() if callable(f) and not name.startswith("_") and getattr(f, "__module__", "") == __name__ and name not in _OTHER}
 
+def _with_tables(sql: str) -> str:
+    """SQL over the community tables for the checking engine."""
+    return f"with {duck_ctes()[0]} {sql}"
+
+
 _HOURS = "select date_trunc('hour', ts) as hour, count(*) as n from events group by 1"
+_POSTS = _with_tables(
+    "select cast(id as varchar) as id, title, content, concat('a', author_name) as author_id, coalesce(author_name, 'unknown') as author_name, submolt, upvotes, cast(0 as bigint) as downvotes, comment_count, created_at from posts"
+)
 ORACLES = {
+    "src_json_archive": _POSTS,
+    "src_json_glob": _POSTS,
+    "src_json_iter": _with_tables("select cast(id as varchar) as id, title, author_name as name from posts"),
     "ss_tumbling_hour": _HOURS,
     "ss_late": _HOURS,
     "ss_microbatch_upsert": "select event_id % 100 as key, max(event_id) as event_id from events group by 1",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def line_by_line(spark: SparkSession, path: str) -> bool:
+    """True if each line is a JSON value of its own, as the first line of the first file tells; the files of a path have one form."""
+    first = spark.read.text(path).filter("trim(value) <> ''").first()
+    try:
+        return first is None or json.loads(first["value"]) is not None
+    except ValueError:
+        return False
+
+
 def flat_posts(raw: DataFrame) -> DataFrame:
     """Nested author and community to columns; times that cannot be read are null, missing counts are 0."""
     return raw.select(
@@ -38,22 +48,22 @@ def read_posts(spark: SparkSession, candidates: list[str], pattern: str | None =
     """The first candidate that exists, a list of posts or an object with ``posts``; else one file per post."""
     for path in candidates:
         if exists(spark, path):
-            raw = spark.read.schema(f"posts array<struct<{_fields(POST)}>>, {POST}").option("multiLine", True).json(path)
+            raw = spark.read.schema(f"posts array<struct<{_fields(POST)}>>, {POST}").option("multiLine", not line_by_line(spark, path)).json(path)
             inner = raw.filter("posts is not null").select(F.explode("posts").alias("p")).select("p.*")
             return flat_posts(inner.unionByName(raw.filter("posts is null").drop("posts")))
     if pattern is None or not exists(spark, pattern):
         return flat_posts(spark.createDataFrame([], POST))
-    return flat_posts(spark.read.schema(POST).option("multiLine", True).option("mode", "DROPMALFORMED").json(pattern))
+    return flat_posts(read_json(spark, pattern, POST))
 
 
 def read_json(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """All JSON files of a pattern; bad ones are skipped."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(pattern)
+    return spark.read.schema(schema).option("multiLine", not line_by_line(spark, pattern)).option("mode", "DROPMALFORMED").json(pattern)
 
 
 def read_comments(spark: SparkSession, path: str) -> DataFrame:
     """A list of comments, or a map from post to list whose key becomes the post."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.option("wholetext", not line_by_line(spark, path)).text(path)
     listed = text.filter(F.trim("value").startswith("[")).select(F.explode(F.from_json("value", f"array<struct<{_fields(COMMENT)}>>")).alias("c")).select("c.*")
     mapped = text.filter(F.trim("value").startswith("{")).select(F.explode(F.from_json("value", f"map<string,array<struct<{_fields(COMMENT)}>>>")).alias("key", "list")).select("key", F.explode("list").alias("c")).select("key", "c.*")
     mapped = mapped.withColumn("post_id", F.coalesce("post_id", "_post_id", "key")).drop("key")
@@ -65,6 +75,20 @@ def _fields(ddl: str) -> str:
     return re.sub(r"(^|, )(\w+) ", r"\1\2:", ddl)
 
 
+def save_matrix(entries: DataFrame, folder: str, name: str) -> None:
+    """A named sparse matrix (row_label, col_label, value) as a table of its own."""
+    entries.select("row_label", "col_label", "value").write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_matrix(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}")
+
+
+def matrix_info(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Size of a stored matrix: entries, rows, columns and their sum."""
+    return load_matrix(spark, folder, name).agg(F.count("*").alias("nnz"), F.countDistinct("row_label").alias("n_rows"), F.countDistinct("col_label").alias("n_cols"), F.sum("value").alias("total")).select(F.lit(name).alias("matrix"), "*")
+
+
 # ---- sinks ---------------------------------------------------------------------------------------------------
 
 

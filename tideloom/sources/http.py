@@ -1,7 +1,7 @@
 """A paged JSON interface as a Spark data source, batch and streaming.
 
 Options: ``url`` (base), ``endpoint`` (posts), ``page`` (rows per request), ``partitions`` (each reads every n-th page),
-``paging`` (offset or page), ``most`` (highest offset).  ``fetch`` names a function ``module:name`` from (url) to the decoded
+``paging`` (offset or page).  Pages are read until one is empty or the interface says that no more follow.  ``fetch`` names a function ``module:name`` from (url) to the decoded
 answer or None; the default asks by urllib.  Rows are JSON texts with their id, parsed by :mod:`.archive`.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import importlib
 import json
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -17,9 +19,22 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 SCHEMA = "id string, comment_count long, body string"
 
 
-def ask(url: str) -> dict | list | None:
-    with urllib.request.urlopen(url, timeout=30) as answer:  # noqa: S310
-        return json.load(answer)
+def ask(url: str, tries: int = 4, wait: float = 1.0) -> dict | list | None:
+    """The decoded answer; busy or failing servers are asked again after waits that double.  A missing page is None."""
+    for attempt in range(tries):
+        try:
+            with urllib.request.urlopen(url, timeout=30) as answer:  # noqa: S310
+                return json.load(answer)
+        except urllib.error.HTTPError as error:
+            if error.code == 404:
+                return None
+            if attempt + 1 == tries or error.code not in (429, 500, 502, 503, 504):
+                raise
+        except urllib.error.URLError:
+            if attempt + 1 == tries:
+                raise
+        time.sleep(wait * 2**attempt)
+    return None
 
 
 def _fetcher(options: dict) -> Callable[[str], dict | list | None]:
@@ -70,6 +85,11 @@ def _url(options: dict, page: int) -> str:
     return f"{options['url'].rstrip('/')}/{endpoint}?sort=new&limit={size}&{where}"
 
 
+def is_last(payload: list | dict | None) -> bool:
+    """True if the interface says that no page follows."""
+    return isinstance(payload, dict) and payload.get("has_more") is False
+
+
 class PagedReader(DataSourceReader):
     """Each partition reads pages first, first + n, ... until one is empty."""
 
@@ -82,12 +102,14 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         fetch, page = _fetcher(self.options), partition.first
-        most = int(self.options.get("most", 1_000_000)) // int(self.options.get("page", 25))
-        while page <= most:
-            items = rows_of(fetch(_url(self.options, page)), self.options.get("endpoint", "posts"))
+        while True:
+            payload = fetch(_url(self.options, page))
+            items = rows_of(payload, self.options.get("endpoint", "posts"))
             if not items:
                 return
             yield from map(as_row, items)
+            if is_last(payload):
+                return
             page += partition.step
 
 
@@ -103,9 +125,9 @@ class NewestFirst(SimpleDataSourceStreamReader):
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         fetch, known = _fetcher(self.options), set(start["known"])
         fresh, page, seen = [], 0, 0
-        most = int(self.options.get("most", 500)) // int(self.options.get("page", 25))
-        while page <= most and seen < 3:
-            items = rows_of(fetch(_url(self.options, page)), self.options.get("endpoint", "posts"))
+        while seen < 3:
+            payload = fetch(_url(self.options, page))
+            items = rows_of(payload, self.options.get("endpoint", "posts"))
             if not items:
                 break
             for item in items:
@@ -117,7 +139,10 @@ class NewestFirst(SimpleDataSourceStreamReader):
                     seen = 0
                     fresh.append(as_row(item))
             page += 1
-        # the newest ids are enough to know where the last poll began
+            if is_last(payload):
+                break
+        # the newest ids are enough to know where the last poll began: polls go from the newest on and stop at three of them;
+        # should fewer of these still exist, older items come again, which a table kept by id takes in
         newest = ([r[0] for r in fresh] + list(start["known"]))[:1000]
         return iter(fresh), {"known": newest}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -49,31 +51,80 @@ def grown(stream: DataFrame, key: str = "id", count: str = "comment_count") -> D
     return typed.groupBy(key).applyInPandasWithState(step, f"{key} string, before long, now long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
+BUCKETS = 32
+
+
+def _pointer(spark: SparkSession, path: str) -> dict[str, str]:
+    """The folder of each bucket of a table; empty where there is no table yet."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return {}
+    stream = fs.open(target)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _point(spark: SparkSession, path: str, folders: dict[str, str]) -> None:
+    """Replace the pointer in one step."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, current = (jvm.org.apache.hadoop.fs.Path(f"{path}/{name}") for name in (f"_next-{uuid.uuid4().hex}", "_current"))
+    out = new.getFileSystem(conf).create(new, True)
+    try:
+        out.write(json.dumps(folders).encode())
+    finally:
+        out.close()
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kinds, 1)
+    how[0] = kinds.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.getFileSystem(conf).getUri(), conf).rename(new, current, how)
+
+
 def upsert(batch: DataFrame, path: str, key: str, version: str) -> None:
-    """Merge a micro-batch into a Parquet table: the latest row of each key wins.  The table is rewritten beside the
-    old one and swapped in by name, so a failed batch leaves the old one in use."""
+    """Merge a micro-batch into a table of Parquet buckets by key: the latest row of each key wins.
+
+    Only the buckets that the batch touches are written, beside the old ones; a pointer file then names the new ones in one step, so
+    a failed batch leaves the table as it was, and a batch that is run again gives the same table.
+    """
     spark = batch.sparkSession
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target = fs_path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = spark.read.parquet(path).unionByName(batch) if fs.exists(target) else batch
-    last = rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))).filter("__r = 1").drop("__r")
-    new, old = fs_path(path + ".new"), fs_path(path + ".old")
-    last.write.mode("overwrite").parquet(path + ".new")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
-    fs.delete(old, True)
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+    batch = batch.persist()
+    try:
+        folders = _pointer(spark, path)
+        touched = [str(r[0]) for r in batch.select(bucket).distinct().collect()]  # at most BUCKETS rows
+        old = [folders[b] for b in touched if b in folders]
+        rows = spark.read.schema(batch.schema).parquet(*old).unionByName(batch) if old else batch
+        rank, part = (name + "_" * sum(c.lower().startswith(name) for c in batch.columns) for name in ("rank", "bucket"))
+        last = rows.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))).filter(F.col(rank) == 1).drop(rank)
+        made = f"{path}/{uuid.uuid4().hex}"
+        last.withColumn(part, bucket).repartition(F.col(part)).write.partitionBy(part).parquet(made)
+        _point(spark, path, folders | {b: f"{made}/{part}={b}" for b in touched})
+    finally:
+        batch.unpersist()
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that :func:`upsert` keeps."""
+    return spark.read.parquet(*_pointer(spark, path).values())
 
 
 def run_available(stream: DataFrame, mode: str = "complete", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
     """Run a stream over all that is there now; its result table, or None where ``each`` takes the batches."""
     spark = stream.sparkSession
-    name = "s" + shared_folder(spark, "stream")[-32:]
+    folder, last = shared_folder(spark, "stream-result"), []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
+        last[:] = [number]
+
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", shared_folder(spark, "stream"))
-    query = writer.foreachBatch(each).start() if each else writer.format("memory").queryName(name).start()
-    query.awaitTermination()
-    return None if each else spark.table(name)
+    writer.foreachBatch(each or keep).start().awaitTermination()
+    if each:
+        return None
+    return spark.read.schema(stream.schema).parquet(f"{folder}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
 
 
 def due(last_run_seconds_ago: float | None, minutes: float) -> bool:
