@@ -56,16 +56,21 @@ def fp_interaction(d: Dialect) -> str:
 
 
 def style_wide(d: Dialect) -> str:
-    fixed = {"dots": ["."], "commas": [","], "asks": ["?"], "shouts": ["!"], "urls": ["http://", "https://"], "fences": ["```"], "breaks": ["\n"], "quotes": ['"', "'"], "parens": ["(", ")"]}
-    patterns = {"caps": r"\p{Lu}", "emoji": "[\U0001f300-\U0001f9ff]", "numbers": "[0-9]+", "lists": r"(?m)^[-*0-9.]\s"}
-    sums = ", ".join([*(f"sum({' + '.join(d.count_of('content', text) for text in texts)}) as {k}" for k, texts in fixed.items()), *(f"sum({d.count_matches('content', p)}) as {k}" for k, p in patterns.items())])
+    # one pass leaves the marks, capitals, emoji and digits, with a blank for each run of other characters; the rest reads that
+    marks = d.replace_all("content", "[^.,?!\\n\\x22\\x27()0-9\\p{Lu}\U0001f300-\U0001f9ff]+", " ")
+    few = {"dots": ["."], "commas": [","], "asks": ["?"], "shouts": ["!"], "breaks": ["\n"], "quotes": ['"', "'"], "parens": ["(", ")"]}
+    rare = {"urls": ("://", ["http://", "https://"]), "fences": ("```", ["```"])}
+    counts = {k: " + ".join(d.count_of("marks", text) for text in texts) for k, texts in few.items()}
+    counts |= {k: f"case when content like {d.lit('%' + sign + '%')} then {' + '.join(d.count_of('content', text) for text in texts)} else 0 end" for k, (sign, texts) in rare.items()}
+    counts |= {k: d.count_matches("marks", p) for k, p in {"caps": r"\p{Lu}", "emoji": "[\U0001f300-\U0001f9ff]", "numbers": "[0-9]+"}.items()} | {"lists": d.count_matches("content", r"(?m)^[-*0-9.]\s")}
+    sums = ", ".join(f"sum({count}) as {k}" for k, count in counts.items())
     t = "nullif(chars, 0)"
     # a list mark counts at the start of a line of the author's joined text, so that of each text but the first may follow a blank
     return f"""select author_name, least(mean_len / 1000, 1.0) as d0, case when n > 1 then least(std_len / 500, 1.0) else 0.0 end as d1,
         coalesce(least(dots * 100.0 / {t}, 1.0), 0) as d2, coalesce(least(commas * 100.0 / {t}, 1.0), 0) as d3, coalesce(least(asks * 100.0 / {t}, 1.0), 0) as d4, coalesce(least(shouts * 100.0 / {t}, 1.0), 0) as d5,
         coalesce(least(caps * 10.0 / {t}, 1.0), 0) as d6, least(urls * 1.0 / n, 1.0) as d7, least(fences * 1.0 / n, 1.0) as d8, least(emoji * 1.0 / n, 1.0) as d9, coalesce(least(breaks * 50.0 / {t}, 1.0), 0) as d10,
         coalesce(least(quotes * 100.0 / {t}, 1.0), 0) as d11, least(numbers * 1.0 / n, 1.0) as d12, coalesce(least(parens * 100.0 / {t}, 1.0), 0) as d13, least(lists * 1.0 / n, 1.0) as d14
-        from (select author_name, count(*) as n, avg(length(content)) as mean_len, stddev_pop(length(content)) as std_len, sum(length(content)) as chars, {sums} from {d.activity} where content is not null and content <> '' and author_name is not null group by author_name) s"""
+        from (select author_name, count(*) as n, avg(length(content)) as mean_len, stddev_pop(length(content)) as std_len, sum(length(content)) as chars, {sums} from (select author_name, content, {marks} as marks from {d.activity} where content is not null and content <> '' and author_name is not null) m group by author_name) s"""
 
 
 def fp_style(d: Dialect) -> str:
