@@ -321,3 +321,57 @@ def test_nearest_is_exact():
         q[ids] = w
         want = np.lexsort((np.arange(700), -np.round(dense @ q, 12)))[:15]
         assert index.nearest(ids, w, 15)[0].tolist() == want.tolist()
+
+
+def test_scores_equal_brute_force(spark):
+    """The whole query against cosines with every example, votes and a search for the calibration, on a small table."""
+    rng = np.random.default_rng(11)
+    clean = [f"word{k}" for k in range(400)]
+    rude = [f"rude{k}xx" for k in range(12)]
+    rows = []
+    for i in range(500):
+        toxic = int(i % 4 == 0)
+        words = rng.choice(clean, 30).tolist() + (rng.choice(rude, 3).tolist() if toxic or i % 37 == 0 else [])
+        rows.append((i, " ".join(words), toxic))
+    rows += [(500, None, 1), (501, "", 0), (502, "word1 word2", None)]
+    rows += [(rows[0][0], rows[0][1], rows[0][2])]  # a repeated row
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    voter = toxicity.fit(docs, labels)
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(rows)
+    learned = [(i, t, *voter.vectors.of(x or "")) for i, x, t in dict.fromkeys(rows) if t is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    held = sorted((e for e in learned if len(e[2])), key=lambda e: e[0])
+    dense = np.zeros((len(held), len(voter.vectors.number)))
+    for k, (_, _, ids, weights) in enumerate(held):
+        dense[k, ids] = weights
+    marks = np.array([e[1] for e in held], float)
+
+    def vote(ids, weights, skip=-1):
+        q = np.zeros(dense.shape[1])
+        q[ids] = weights
+        cosine = dense @ q
+        if skip >= 0:
+            cosine[skip] = 0
+        near = [k for k in np.lexsort((np.arange(len(held)), -np.round(cosine, 12)))[:15] if cosine[k] > 0]
+        by = cosine[near] ** 2
+        return (by @ marks[near] + 0.05 * voter.base) / (by.sum() + 0.05) if near else voter.base
+
+    raw = np.array([vote(e[2], e[3], k) for k, e in enumerate(held)])
+    knots, values = toxicity.monotone(raw, marks, np.ones(len(held)))
+    text = {i: x for i, x, _ in rows}
+    for r in got:
+        ids, weights = voter.vectors.of(text[r["doc_id"]] or "")
+        want = float(np.interp(vote(ids, weights), knots, values)) if len(ids) else voter.base
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == int(r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0 and toxicity.toxicity(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0
+
+
+def test_byte_bpe_of_odd_tables(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = byte_bpe.load_ranks(path)
+    tk = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = sorted(((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in byte_bpe.byte_bpe(odd_rows(spark), path, public_tokenizers.PATTERN).collect()), key=str)
+    want = sorted(((r["doc_id"], len(tk.encode_ordinary(r["text"] or "")), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in odd_rows(spark).collect()), key=str)
+    assert got == want
+    assert byte_bpe.byte_bpe(odd_rows(spark).limit(0), path, public_tokenizers.PATTERN).count() == 0

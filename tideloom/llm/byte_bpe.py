@@ -16,7 +16,6 @@ recognised; repeated rows are encoded each; an empty table gives no row; other c
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 from array import array
@@ -150,11 +149,17 @@ _encoders: dict[tuple[str, str], BlockEncoder] = {}
 
 def block_encoder(path: str, pattern: str) -> BlockEncoder:
     if (path, pattern) not in _encoders:
-        gc.disable()  # nothing here has cycles
         _encoders[path, pattern] = BlockEncoder(load_ranks(path), pattern)
     return _encoders[path, pattern]
 
 
+def forget(most: int = 200_000) -> None:
+    """Empty the memos of more than ``most`` words: what a worker keeps between tasks is bounded."""
+    for own in _encoders.values():
+        if len(own.memo) > most:
+            own.memo = {}
+
+
 def byte_bpe(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids of every text."""
 
@@ -177,4 +182,4 @@ def byte_bpe(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = Fa
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidied(run, forget, cycles=False), schema)

@@ -1,8 +1,7 @@
 """Toxicity (operator 8): votes of the nearest labelled examples by exact TF-IDF cosine.
 
 Features of a text are its lower-case words and word beginnings of four to eight letters.  Of the features seen
-in the labelled sample, those that tell toxic texts by log-likelihood ratio are the terms, ``n_features`` at most; texts and examples
-are TF-IDF vectors of unit length over them.  The examples form an inverted index whose postings
+in the labelled sample, all that tell toxic texts by log-likelihood ratio are the terms; texts and examples are TF-IDF vectors of unit length over them.  The examples form an inverted index whose postings
 are cut in blocks, each with the largest weight in it (a block-max index).  A query bounds each example block by
 the largest weights of its terms, scores blocks by falling sum of bounds, and stops when the next block's bound is below the k-th best
 cosine so far, and so finds the exact k nearest.  Each neighbour votes with weight ``cosine ** power`` for its label;
@@ -70,14 +69,14 @@ def term_counts(sample: DataFrame) -> DataFrame:
                     counts.setdefault(term, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["term", "toxic", "clean"])
 
-    found = sample.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long")
+    found = sample.select("text", "toxic").mapInArrow(common.tidied(run), "term string, toxic long, clean long")
     return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int, n_features: int, least_texts: int, least_gain: float) -> dict[str, float]:
+def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int, least_texts: int, least_gain: float) -> dict[str, float]:
     """The terms of toxic texts by falling log-likelihood ratio, with their inverse document frequency.
 
-    At most ``8 * n_features`` rows reach the driver; a ratio of 16 is one in 15,000 by chance.
+    What reaches the driver is bounded by the sample's vocabulary; a ratio of 16 is one in 15,000 by chance.
     """
     n, n1, n0 = F.col("toxic") + F.col("clean"), F.lit(float(n_toxic)), F.lit(float(n_clean))
     rate = n / (n1 + n0)  # of texts with the term, if it told nothing
@@ -89,9 +88,9 @@ def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int, n_features: int,
 
     gain = 2 * (part(F.col("toxic").cast("double"), n1, rate) + part(F.col("clean").cast("double"), n0, rate))
     kept = counts.filter((n >= least_texts) & (n < n_toxic + n_clean) & (p > 2 * q)).withColumn("strength", F.round(gain, 6)).filter(F.col("strength") >= least_gain)
-    rows = kept.orderBy(F.desc("strength"), "term").limit(8 * n_features).collect()
+    rows = kept.orderBy(F.desc("strength"), "term").collect()
     n = n_toxic + n_clean
-    return {t: math.log((n + 1) / (a + b + 1)) + 1 for t, a, b in without_echoes([(r["term"], r["toxic"], r["clean"]) for r in rows])[:n_features]}
+    return {t: math.log((n + 1) / (a + b + 1)) + 1 for t, a, b in without_echoes([(r["term"], r["toxic"], r["clean"]) for r in rows])}
 
 
 def without_echoes(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -212,8 +211,10 @@ class Voter:
         self.stands_for = np.array([class_weights[e[1]] for e in held], np.float64)
         self.index = BlockMaxIndex(len(terms), [(e[2], e[3]) for e in held])
         self.knots, self.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        if held:
-            raw = np.array([self.vote(e[2], e[3], i)[0] for i, e in enumerate(held)])
+
+    def calibrate(self, raw: np.ndarray) -> None:
+        """``raw``: the vote on each example of the index without itself."""
+        if len(raw):
             self.knots, self.values = monotone(raw, self.labels, self.stands_for)
 
     def vote(self, ids: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
@@ -248,7 +249,7 @@ def monotone(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndar
     return np.array([p[2] for p in pools]), np.array([p[1] for p in pools])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 10_000, n_features: int = 1_000, least_texts: int = 3, least_gain: float = 16.0, k: int = 15, power: float = 2.0) -> Voter:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 10_000, least_texts: int = 3, least_gain: float = 16.0, k: int = 15, power: float = 2.0) -> Voter:
     """Fit on the bounded sample of labelled rows."""
     chosen = common.stored(sample_labels(labels, max_examples), "toxicity-labels")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -257,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 10_000, n_featur
     sample = common.stored(joined, "toxicity-sample")
     found = sample.groupBy("toxic").agg(F.count("*").alias("n"), F.max("weight").alias("weight")).collect()
     n, weight = {r["toxic"]: r["n"] for r in found}, {r["toxic"]: r["weight"] for r in found}
-    terms = choose_terms(term_counts(sample), n.get(1, 0), n.get(0, 0), n_features, least_texts, least_gain) if n.get(1) and n.get(0) else {}
+    terms = choose_terms(term_counts(sample), n.get(1, 0), n.get(0, 0), least_texts, least_gain) if n.get(1) and n.get(0) else {}
     vectors = Vectors(terms)
 
     def vectorise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,9 +269,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 10_000, n_featur
                 names=["doc_id", "toxic", "ids", "weights"],
             )
 
-    rows = sample.mapInArrow(vectorise, "doc_id long, toxic int, ids array<long>, weights array<double>").collect()
-    examples = sorted(((r["doc_id"], r["toxic"], np.array(r["ids"], np.int64), np.array(r["weights"])) for r in rows), key=lambda e: e[0])
-    return Voter(terms, examples, k, power, (weight.get(0, 1.0), weight.get(1, 1.0)))
+    made = common.stored(sample.mapInArrow(common.tidied(vectorise), "doc_id long, toxic int, ids array<long>, weights array<double>"), "toxicity-vectors")
+    examples = sorted(((r["doc_id"], r["toxic"], np.array(r["ids"], np.int64), np.array(r["weights"])) for r in made.collect()), key=lambda e: e[0])
+    voter = Voter(terms, examples, k, power, (weight.get(0, 1.0), weight.get(1, 1.0)))
+    shared = docs.sparkSession.sparkContext.broadcast(voter)
+
+    def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        number = {doc_id: i for i, doc_id in enumerate(model.ids)}
+        for batch in batches:
+            rows = [(number[d], np.array(i, np.int64), np.array(w)) for d, i, w in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "weights"))) if i]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([model.vote(r[1], r[2], r[0])[0] for r in rows], pa.float64())], names=["number", "raw"])
+
+    # the votes on the examples are cast in tasks; one number for each comes back
+    raw = np.zeros(len(voter.ids))
+    for number, value in made.repartition(32).mapInArrow(common.tidied(vote), "number long, raw double").collect():
+        raw[number] = value
+    voter.calibrate(raw)
+    return voter
 
 
 def score(docs: DataFrame, voter: Voter) -> DataFrame:
@@ -287,7 +303,7 @@ def score(docs: DataFrame, voter: Voter) -> DataFrame:
             )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, score double, evidence array<long>, cosines array<double>")
+    return source.mapInArrow(common.tidied(run), "doc_id long, score double, evidence array<long>, cosines array<double>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
