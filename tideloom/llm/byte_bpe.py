@@ -160,6 +160,9 @@ def forget(most: int = 200_000) -> None:
             own.memo = {}
 
 
+common.memos.append(forget)
+
+
 def byte_bpe(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids of every text."""
 

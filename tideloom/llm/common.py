@@ -107,14 +107,22 @@ def replayable(df: DataFrame, tag: str) -> DataFrame:
     return df if kinds <= {"Project", "Relation", "RelationV2", "LogicalRelation"} else stored(df, tag)
 
 
-def tidied(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None, cycles: bool = True) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Functions that empty the memos of encoders which outlive a task.
+memos: list[Callable[[int], None]] = []
+
+
+def tidied(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None, cycles: bool = True, keeps: bool = False) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, after which the worker, which serves other tasks too, calls ``forget`` and gives its free memory back.
 
+    ``keeps`` True: the memos of ``run`` serve its next tasks in the worker; the first task of any other kind empties them.
     ``cycles`` False: ``run`` makes no cycles, and the collector rests while it works.
     """
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
+            if not keeps and not forget:
+                for empty in memos:
+                    empty(0)
             if not cycles:
                 gc.disable()
             yield from run(batches)

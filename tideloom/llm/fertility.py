@@ -79,6 +79,9 @@ def forget(most: int = 200_000) -> None:
             own.memo = {}
 
 
+common.memos.append(forget)
+
+
 def script_of(text: str) -> str:
     """The script of most letters; ties go to the first name."""
     if text.isascii():

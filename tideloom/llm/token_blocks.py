@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .wordbpe import encoder, forget
+from .wordbpe import encoder
 
 MAGIC = b"PFR1"
 BLOCK = 256
@@ -184,7 +184,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["path", "part", "seq", "n_docs", "n_tokens", "n_bytes"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(common.tidied(write, forget, cycles=False), "path string, part long, seq long, n_docs long, n_tokens long, n_bytes long")
+    return ordered.mapInArrow(common.tidied(write, cycles=False, keeps=True), "path string, part long, seq long, n_docs long, n_tokens long, n_bytes long")
 
 
 def with_starts(index: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ import json
 import os
 from array import array
 
+from . import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
@@ -94,3 +96,6 @@ def forget(most: int = 200_000) -> None:
     for own in _encoders.values():
         if len(own.memo) > most:
             own.memo = {"": b""}
+
+
+common.memos.append(forget)
