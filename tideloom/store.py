@@ -12,6 +12,8 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``; a temporary one is set where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tideloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
