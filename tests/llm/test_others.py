@@ -283,7 +283,7 @@ def test_toxicity(spark):
     held = [d for d in truth if d in got and got[d]["held_out"]]
     hits = [d for d in held if got[d]["predicted"]]
     assert sum(truth[d] for d in hits) > 0.85 * len(hits)
-    assert len([d for d in hits if truth[d]]) > 0.65 * sum(truth[d] for d in held)
+    assert len([d for d in hits if truth[d]]) > 0.8 * sum(truth[d] for d in held)
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[-1]["predicted"] == 0
     assert all(not set(r["evidence"]) & set(held) for r in got.values())
 
@@ -294,7 +294,11 @@ def test_scores_keep_the_class_mix_of_all_labels(spark):
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
     whole, cut = toxicity.fit(docs, labels), toxicity.fit(docs, labels, max_examples=70)
     assert abs(whole.score("grumble words")[0] - cut.score("grumble words")[0]) < 0.2
-    assert toxicity.fit(docs, labels, max_examples=70).base < 0.05
+    # rows that are not held out: a seventh of them is toxic
+    assert abs(whole.base - 1 / 7) < 0.03 and abs(cut.base - whole.base) < 1e-9
+    # a bound on characters leaves rows out, and the others stand for them
+    short = toxicity.fit(docs, labels, max_chars=700)
+    assert len(short.ids) < len(cut.ids) and abs(short.base - whole.base) < 1e-9
     weights = {r["toxic"]: r["weight"] for r in toxicity.sample_labels(labels, 70).collect()}
     usable = [t for i, _, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
     assert weights == {0: max(1.0, usable.count(0) / 70), 1: max(1.0, usable.count(1) / 70)}
@@ -321,6 +325,8 @@ def test_nearest_is_exact():
         q[ids] = w
         want = np.lexsort((np.arange(700), -np.round(dense @ q, 12)))[:15]
         assert index.nearest(ids, w, 15)[0].tolist() == want.tolist()
+        for least in (0.3, 0.8):
+            assert index.nearest(ids, w, 15, least=least)[0].tolist() == [i for i in want if (dense @ q)[i] >= least]
 
 
 def test_scores_equal_brute_force(spark):
@@ -352,8 +358,8 @@ def test_scores_equal_brute_force(spark):
         cosine = dense @ q
         if skip >= 0:
             cosine[skip] = 0
-        near = [k for k in np.lexsort((np.arange(len(held)), -np.round(cosine, 12)))[:15] if cosine[k] > 0]
-        by = cosine[near] ** 2
+        near = [k for k in np.lexsort((np.arange(len(held)), -np.round(cosine, 12)))[:15] if cosine[k] >= 0.3]
+        by = cosine[near] ** voter.power
         return (by @ marks[near] + 0.05 * voter.base) / (by.sum() + 0.05) if near else voter.base
 
     raw = np.array([vote(e[2], e[3], k) for k, e in enumerate(held)])

@@ -1,19 +1,22 @@
 """Toxicity (operator 8): votes of the nearest labelled examples by exact TF-IDF cosine.
 
-Features of a text are its lower-case words and word beginnings of four to eight letters.  Of the features seen
-in the labelled sample, all that tell toxic texts by log-likelihood ratio are the terms; texts and examples are TF-IDF vectors of unit length over them.  The examples form an inverted index whose postings
-are cut in blocks, each with the largest weight in it (a block-max index).  A query bounds each example block by
-the largest weights of its terms, scores blocks by falling sum of bounds, and stops when the next block's bound is below the k-th best
-cosine so far, and so finds the exact k nearest.  Each neighbour votes with weight ``cosine ** power`` for its label;
-votes are smoothed by the rate of texts that share no term with any example, and mapped to a calibrated
+Features of a text are all its lower-case words, and those word beginnings of four to eight letters that tell toxic
+texts.  Texts and examples are TF-IDF vectors of unit length over every word of two texts or more of the labelled sample; features
+that tell toxic texts by log-likelihood ratio weigh ``emphasis`` times as much.  The examples, ordered by length,
+form an inverted index whose postings are cut in blocks, each with the largest weight in it (a block-max index).  A
+query leaves the longest postings while their largest weights add up to less than ``least_cosine``, scores the others, and completes
+each example whose score and the bounds of what was left reach that cosine; so it finds the exact k nearest of
+that cosine or more (at the registered 0.3 and power 8 the votes of fifteen neighbours below it would move the mean by 2 % at most). Each neighbour votes with weight ``cosine ** power`` for its label;
+votes are smoothed by the toxic share of the examples, and mapped to a calibrated
 score by a monotone fit on the labelled sample (leaving each example out of its own vote).
 
-The labelled sample is bounded: at most ``max_examples`` rows of each class, taken in the order of a hash of doc_id.
-That is the proven bound of what is broadcast.  Votes, base rate and calibration weigh each example by its class's
+The labelled sample is bounded: of each class at most ``max_examples`` rows in the order of a hash of doc_id, and of these
+those that begin within the first ``max_chars`` characters.  That is the proven bound of what is broadcast: no more feature
+entries than the sample has words.  Votes, base rate and calibration weigh each example by its class's
 labelled rows over its examples, so that they keep the class mix of all labels.  Every row is scored, by its whole text.
 
-Defined cases: null, empty and term-free texts get the rate of toxic texts among the examples without a
-term; ties of cosine go to the smaller example id; repeated rows are scored each; with no labelled
+Defined cases: null and empty texts and texts without a word of the sample get the toxic share of the examples, and texts
+without a near example its calibrated value; ties of cosine go to the smaller example id; repeated rows are scored each and form one example; with no labelled
 rows every score is 0; null labels and ids are not learned from; other columns are ignored.
 """
 
@@ -26,7 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -73,10 +76,12 @@ def term_counts(sample: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int, least_texts: int, least_gain: float) -> dict[str, float]:
-    """The terms of toxic texts by falling log-likelihood ratio, with their inverse document frequency.
+def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int, least_texts: int, least_gain: float, emphasis: float) -> dict[str, float]:
+    """Every word of two texts of the sample or more, and the word beginnings that tell toxic texts, with their weights.
 
-    What reaches the driver is bounded by the sample's vocabulary; a ratio of 16 is one in 15,000 by chance.
+    A weight is the inverse document frequency, times ``emphasis`` for what tells toxic texts: in ``least_texts`` texts
+    or more, twice as frequent in toxic ones, and of a log-likelihood ratio of ``least_gain`` (16 is one in 15,000 by chance).
+    What reaches the driver is bounded by the sample's vocabulary.
     """
     n, n1, n0 = F.col("toxic") + F.col("clean"), F.lit(float(n_toxic)), F.lit(float(n_clean))
     rate = n / (n1 + n0)  # of texts with the term, if it told nothing
@@ -87,10 +92,11 @@ def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int, least_texts: int
         return hit + F.when(m > k, (m - k) * F.log((m - k) / (m * (1 - r)))).otherwise(0.0)
 
     gain = 2 * (part(F.col("toxic").cast("double"), n1, rate) + part(F.col("clean").cast("double"), n0, rate))
-    kept = counts.filter((n >= least_texts) & (n < n_toxic + n_clean) & (p > 2 * q)).withColumn("strength", F.round(gain, 6)).filter(F.col("strength") >= least_gain)
-    rows = kept.orderBy(F.desc("strength"), "term").collect()
-    n = n_toxic + n_clean
-    return {t: math.log((n + 1) / (a + b + 1)) + 1 for t, a, b in without_echoes([(r["term"], r["toxic"], r["clean"]) for r in rows])}
+    counts = counts.filter(n >= 2)
+    tells = F.coalesce((n >= least_texts) & (n < n_toxic + n_clean) & (p > 2 * q) & (F.round(gain, 6) >= least_gain), F.lit(False))
+    rows = counts.withColumn("tells", tells).filter(F.col("tells") | ~F.col("term").endswith("~")).orderBy("term").toArrow().to_pylist()
+    telling = {t for t, _, _ in without_echoes([(r["term"], r["toxic"], r["clean"]) for r in rows if r["tells"]])}
+    return {r["term"]: math.log(1 + (n_toxic + n_clean) / (r["toxic"] + r["clean"])) * (emphasis if r["term"] in telling else 1.0) for r in rows if r["term"] in telling or not r["term"].endswith("~")}
 
 
 def without_echoes(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -105,106 +111,126 @@ def without_echoes(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int
 
 
 class Vectors:
-    """TF-IDF vectors of unit length over chosen terms."""
+    """TF-IDF vectors of unit length over weighted terms."""
 
     def __init__(self, terms: dict[str, float]):
         self.number = {t: i for i, t in enumerate(sorted(terms))}
-        self.idf = np.array([terms[t] for t in sorted(terms)])
-        self.starts = {t[:4] for t in terms}
-        self.exact = {t for t in terms if not t.endswith("~")}
+        self.weights = np.array([terms[t] for t in sorted(terms)])
+        # the word beginnings by their first four letters
+        self.starts: dict[str, list[tuple[str, int]]] = {}
+        for term, i in self.number.items():
+            if term.endswith("~"):
+                self.starts.setdefault(term[:4], []).append((term[:-1], i))
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         number, starts, found = self.number, self.starts, {}
-        for word in _WORD.findall(text.lower()):
-            if word[:4] in starts:
-                if (i := number.get(word)) is not None:
-                    found[i] = found.get(i, 0) + 1
-                for k in range(4, min(len(word), 9)):
-                    if (i := number.get(word[:k] + "~")) is not None:
-                        found[i] = found.get(i, 0) + 1
+        counts = Counter(_WORD.findall(text.lower()))
+        for word in counts.keys() & number.keys():
+            found[number[word]] = counts[word]
+        for word in [w for w in counts if w[:4] in starts]:
+            for start, i in starts[word[:4]]:
+                if word.startswith(start) and word != start:
+                    found[i] = found.get(i, 0) + counts[word]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        ids = np.array(sorted(found), np.int64)
-        weights = (1 + np.log([found[i] for i in ids.tolist()])) * self.idf[ids]
-        return ids, weights / math.sqrt(float(weights @ weights))
+        ids = np.fromiter(found, np.int64, len(found))
+        order = np.argsort(ids)
+        weights = (1 + np.log(np.fromiter(found.values(), np.float64, len(found))[order])) * self.weights[ids[order]]
+        return ids[order], weights / math.sqrt(float(weights @ weights))
 
 
 class BlockMaxIndex:
-    """Inverted index of unit vectors; ``nearest`` is exact."""
+    """Inverted index of unit vectors with the block maxima of frequent terms; ``nearest`` is exact."""
 
     def __init__(self, n_terms: int, vectors: list[tuple[np.ndarray, np.ndarray]]):
         self.n = len(vectors)
-        self.n_blocks = -(-self.n // BLOCK)
-        terms = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        docs = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors]) if vectors else np.zeros(0, np.int64)
-        weights = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((docs, terms))
-        terms, self.docs, self.weights = terms[order], docs[order], weights[order]
-        self.bounds = np.searchsorted(terms, np.arange(n_terms + 1))
-        # per term: the blocks that its postings touch, where each begins, and the largest weight in it
-        block_of = self.docs // BLOCK
-        new = np.ones(len(terms), bool)
-        new[1:] = (terms[1:] != terms[:-1]) | (block_of[1:] != block_of[:-1])
-        self.block_start = np.flatnonzero(new)
-        self.block_no = block_of[self.block_start]
-        self.block_max = np.maximum.reduceat(self.weights, self.block_start) if len(terms) else np.zeros(0)
-        self.block_bounds = np.searchsorted(self.block_start, self.bounds)
-        self.block_end = np.append(self.block_start[1:], len(terms))
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples (all of cosine above 0 if fewer)."""
+        sizes = np.array([len(v[0]) for v in vectors], np.int64)
+        # examples of like length stand together, so that the largest weights in a block are near the others
+        self.example = np.argsort(sizes, kind="stable")
+        self.place = np.argsort(self.example, kind="stable")
+        self.ends = np.cumsum(sizes[self.example])
+        self.terms = np.concatenate([vectors[i][0] for i in self.example]).astype(np.int32) if self.n else np.zeros(0, np.int32)
+        self.weights = np.concatenate([vectors[i][1] for i in self.example]) if self.n else np.zeros(0)
+        docs = np.repeat(np.arange(self.n, dtype=np.int32), sizes[self.example])
+        order = np.argsort(self.terms, kind="stable")
+        self.docs, self.by = docs[order], self.weights[order]
+        self.bounds = np.searchsorted(self.terms[order], np.arange(n_terms + 1))
+        # terms in more than a sixteenth of the examples: their largest weight in each block
+        frequent = np.flatnonzero(np.diff(self.bounds) * 16 > self.n)
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.block = np.arange(self.n) // BLOCK
+        self.top = np.zeros(n_terms)
+        np.maximum.at(self.top, self.terms, self.weights)
+        self.largest = np.zeros((len(frequent), -(-self.n // BLOCK)))
+        for row, term in enumerate(frequent.tolist()):
+            some = slice(self.bounds[term], self.bounds[term + 1])
+            np.maximum.at(self.largest[row], self.block[self.docs[some]], self.by[some])
+        self.query = np.zeros(n_terms)
+
+    def vector(self, no: int) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of an example."""
+        place = self.place[no]
+        some = slice(self.ends[place - 1] if place else 0, self.ends[place])
+        return self.terms[some].astype(np.int64), self.weights[some]
+
+    def _scores(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the given terms add to the cosine with each example, by place."""
+        if not len(ids):
+            return np.zeros(self.n)
+        starts, ends = self.bounds[ids], self.bounds[ids + 1]
+        lists = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist())]
+        added = np.concatenate([self.by[some] for some in lists])
+        added *= np.repeat(weights, ends - starts)
+        return np.bincount(np.concatenate([self.docs[some] for some in lists]), added, self.n).astype(np.float64, copy=False)
+
+    def _whole(self, places: np.ndarray) -> np.ndarray:
+        """Cosines of the query with the examples at these places, by their whole vectors."""
+        if not len(places):
+            return np.zeros(0)
+        starts, ends = np.where(places > 0, self.ends[places - 1], 0), self.ends[places]
+        lists = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist())]
+        added = self.query[np.concatenate([self.terms[some] for some in lists])]
+        added *= np.concatenate([self.weights[some] for some in lists])
+        return np.add.reduceat(added, np.cumsum(ends - starts) - (ends - starts))
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest examples of a cosine above 0 and of ``least`` or more (all of them if fewer)."""
         if not len(ids) or not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
-        # every block entry of the query's terms: its number, and the term weight that goes with it
-        entries, of_term = spread(self.block_bounds[ids], self.block_bounds[ids + 1])
-        if not len(entries):
-            return np.zeros(0, np.int64), np.zeros(0)
-        blocks, by = self.block_no[entries], weights[of_term]
-        bound = np.bincount(blocks, by * self.block_max[entries], self.n_blocks)
-        order = np.argsort(-bound, kind="stable")[: int(np.count_nonzero(bound))]
-        best_no, best = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 8
-        while at < len(order):
-            if len(best) == k and bound[order[at]] < best[-1] - 1e-9:
-                break  # no block that is left can hold a nearer example
-            wanted = np.zeros(self.n_blocks, bool)
-            wanted[order[at : at + step]] = True
-            at, step = at + step, step * 4
-            some = np.flatnonzero(wanted[blocks])
-            postings, of_entry = spread(self.block_start[entries[some]], self.block_end[entries[some]])
-            scores = np.bincount(self.docs[postings], by[some][of_entry] * self.weights[postings], self.n)
-            if skip >= 0:
-                scores[skip] = 0
-            if len(best) == k:
-                no = np.flatnonzero(scores >= best[-1] - 1e-9)
-            else:
-                no = np.flatnonzero(scores)
-            found = scores[no]
-            if len(no) > 8 * k:
-                least = np.partition(found, len(no) - k)[len(no) - k] - 1e-9
-                no, found = no[found >= least], found[found >= least]
-            best_no, best = np.concatenate([best_no, no]), np.concatenate([best, found])
-            first = np.lexsort((best_no, -np.round(best, 12)))[:k]
-            best_no, best = best_no[first], best[first]
-        return best_no, best
-
-
-def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges one after the other, and the range that each comes from."""
-    sizes = ends - starts
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    return np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[which], which
+        # the longest postings are left while all that they could add stays below the least cosine; the others are scored
+        most = weights * self.top[ids]
+        order = np.argsort(self.bounds[ids] - self.bounds[ids + 1], kind="stable")
+        cut = int(np.searchsorted(np.cumsum(most[order]), 0.9 * least, side="right")) if least > 0 else 0
+        left, scored = order[:cut], order[cut:]
+        bound = self._scores(ids[scored], weights[scored])
+        # what was left adds at most its largest weight in the block, or in the whole list
+        rows = self.row[ids[left]]
+        often = left[rows >= 0]
+        bound += (weights[often] @ self.largest[self.row[ids[often]]])[self.block] + most[left[rows < 0]].sum()
+        if skip >= 0:
+            bound[self.place[skip]] = 0
+        places = np.flatnonzero((bound >= least - 1e-9) & (bound > 0))
+        self.query[ids] = weights
+        cosine = self._whole(places)
+        self.query[ids] = 0
+        near = (cosine > 0) & (cosine >= least)
+        if np.count_nonzero(near) > 8 * k:
+            near &= cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k] - 1e-9
+        no, cosine = self.example[places[near]], cosine[near]
+        first = np.lexsort((no, -np.round(cosine, 12)))[:k]
+        return no[first], cosine[first]
 
 
 class Voter:
     """A fitted model: terms, index, labels and calibration.  Its size is bounded by the sample's."""
 
-    def __init__(self, terms: dict[str, float], examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int, power: float, class_weights: tuple[float, float] = (1.0, 1.0)):
+    def __init__(self, terms: dict[str, float], examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int, power: float, class_weights: tuple[float, float] = (1.0, 1.0), least: float = 0.0):
         self.vectors = Vectors(terms)
-        self.k, self.power = k, power
+        self.k, self.power, self.least = k, power, least
         # an example stands for as many labelled rows of its class as its weight (clean, toxic) says
-        without = [(toxic, class_weights[toxic]) for _, toxic, ids, _ in examples if not len(ids)]
-        self.base = (sum(t * w for t, w in without) + 0.5) / (sum(w for _, w in without) + 1) if examples else 0.0
+        total = sum(class_weights[e[1]] for e in examples)
+        self.base = sum(class_weights[1] for e in examples if e[1]) / total if examples else 0.0
         held = [e for e in examples if len(e[2])]
         self.ids = [e[0] for e in held]
         self.labels = np.array([e[1] for e in held], np.float64)
@@ -218,7 +244,7 @@ class Voter:
             self.knots, self.values = monotone(raw, self.labels, self.stands_for)
 
     def vote(self, ids: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        no, cosine = self.index.nearest(ids, weights, self.k, skip)
+        no, cosine = self.index.nearest(ids, weights, self.k, skip, self.least)
         if not len(no):
             return self.base, no, cosine
         by = np.maximum(cosine, 1e-9) ** self.power * self.stands_for[no]
@@ -236,10 +262,12 @@ class Voter:
 
 
 def monotone(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators fit of weighted y on x: knots and rising values."""
-    order = np.argsort(x, kind="stable")
+    """Pool-adjacent-violators fit of weighted y on x: knots and rising values.  Equal x (to nine digits) form one point."""
+    points, which = np.unique(np.round(x, 9), return_inverse=True)
+    total = np.bincount(which, weights, len(points))
+    mean = np.bincount(which, weights * y, len(points)) / total
     pools: list[list[float]] = []  # weight, mean of y, mean of x
-    for a, b, by in zip(x[order].tolist(), y[order].tolist(), weights[order].tolist()):
+    for a, b, by in zip(points.tolist(), mean.tolist(), total.tolist()):
         pools.append([by, b, a])
         while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
             w, m, c = pools.pop()
@@ -249,41 +277,52 @@ def monotone(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndar
     return np.array([p[2] for p in pools]), np.array([p[1] for p in pools])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 10_000, least_texts: int = 3, least_gain: float = 16.0, k: int = 15, power: float = 2.0) -> Voter:
-    """Fit on the bounded sample of labelled rows."""
+def sample_texts(docs: DataFrame, labels: DataFrame, max_examples: int, max_chars: int) -> tuple[DataFrame, dict[int, int], tuple[float, float]]:
+    """The labelled sample with its texts, its rows by class, and the weight of a (clean, toxic) example."""
     chosen = common.stored(sample_labels(labels, max_examples), "toxicity-labels")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # at most 2 * max_examples rows of three numbers
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = common.stored(joined, "toxicity-sample")
-    found = sample.groupBy("toxic").agg(F.count("*").alias("n"), F.max("weight").alias("weight")).collect()
-    n, weight = {r["toxic"]: r["n"] for r in found}, {r["toxic"]: r["weight"] for r in found}
-    terms = choose_terms(term_counts(sample), n.get(1, 0), n.get(0, 0), least_texts, least_gain) if n.get(1) and n.get(0) else {}
-    vectors = Vectors(terms)
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = common.stored(joined.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))), "toxicity-sample")
+    taken = F.col("before") < max_chars
+    found = placed.groupBy("toxic").agg(F.count(F.when(taken, 1)).alias("n"), (F.max("weight") * F.count("*") / F.count(F.when(taken, 1))).alias("weight")).collect()
+    weight = {r["toxic"]: r["weight"] for r in found}
+    return placed.filter(taken).drop("before"), {r["toxic"]: r["n"] for r in found}, (weight.get(0, 1.0), weight.get(1, 1.0))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, max_chars: int = 20_000_000, least_texts: int = 3, least_gain: float = 16.0, emphasis: float = 8.0, k: int = 15, power: float = 8.0, least_cosine: float = 0.3) -> Voter:
+    """Fit on the bounded sample of labelled rows."""
+    sample, n, weights = sample_texts(docs, labels, max_examples, max_chars)
+    terms = choose_terms(term_counts(sample), n[1], n[0], least_texts, least_gain, emphasis) if n.get(1) and n.get(0) else {}
+    context = docs.sparkSession.sparkContext
+    shared_vectors = context.broadcast(Vectors(terms))
 
     def vectorise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = shared_vectors.value
         for table in common.blocks(batches):
             found = [vectors.of(t) for t in common.texts_of(table)]
             yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").combine_chunks(), table.column("toxic").combine_chunks(), pa.array([f[0].tolist() for f in found], pa.list_(pa.int64())), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64()))],
+                [table.column("doc_id").combine_chunks(), table.column("toxic").combine_chunks(), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())],
                 names=["doc_id", "toxic", "ids", "weights"],
             )
 
-    made = common.stored(sample.mapInArrow(common.tidied(vectorise), "doc_id long, toxic int, ids array<long>, weights array<double>"), "toxicity-vectors")
-    examples = sorted(((r["doc_id"], r["toxic"], np.array(r["ids"], np.int64), np.array(r["weights"])) for r in made.collect()), key=lambda e: e[0])
-    voter = Voter(terms, examples, k, power, (weight.get(0, 1.0), weight.get(1, 1.0)))
-    shared = docs.sparkSession.sparkContext.broadcast(voter)
+    # no more numbers than the sample has words
+    made = sample.mapInArrow(common.tidied(vectorise), "doc_id long, toxic int, ids binary, weights binary").toArrow()
+    rows = sorted(zip(*(made.column(c).to_pylist() for c in ("doc_id", "toxic", "ids", "weights"))))
+    voter = Voter(terms, [(d, t, np.frombuffer(i, np.int64), np.frombuffer(w)) for d, t, i, w in rows], k, power, weights, least_cosine)
+    shared = context.broadcast(voter)
 
     def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        number = {doc_id: i for i, doc_id in enumerate(model.ids)}
         for batch in batches:
-            rows = [(number[d], np.array(i, np.int64), np.array(w)) for d, i, w in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "weights"))) if i]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([model.vote(r[1], r[2], r[0])[0] for r in rows], pa.float64())], names=["number", "raw"])
+            numbers = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.vote(*model.index.vector(i), i)[0] for i in numbers], pa.float64())], names=["number", "raw"])
 
     # the votes on the examples are cast in tasks; one number for each comes back
     raw = np.zeros(len(voter.ids))
-    for number, value in made.repartition(32).mapInArrow(common.tidied(vote), "number long, raw double").collect():
+    numbers = docs.sparkSession.range(0, len(raw), 1, 32).withColumnRenamed("id", "number")
+    for number, value in numbers.mapInArrow(common.tidied(vote), "number long, raw double").collect():
         raw[number] = value
     voter.calibrate(raw)
     return voter
