@@ -1,3 +1,3 @@
 """All declarative operators; importing this package registers them."""
 
-from . import alerts, coordination, fingerprints, graphs, insights, matrices, narratives, relational, temporal, vectors  # noqa: F401
+from . import alerts, allpairs, coordination, fingerprints, graphs, insights, matrices, narratives, relational, temporal, vectors  # noqa: F401

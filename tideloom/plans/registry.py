@@ -48,6 +48,20 @@ def operator(name: str, **test: object) -> Callable[[Plan], Plan]:
     return add
 
 
+Prepare = Callable[..., dict]
+PREPARED: dict[str, Prepare] = {}
+
+
+def prepared(*names: str) -> Callable[[Prepare], Prepare]:
+    """Register for plans a function ``(engine, d, **params) -> more parameters``, such as the relation of a part that Spark computes in another way."""
+
+    def add(make: Prepare) -> Prepare:
+        PREPARED.update(dict.fromkeys(names, make))
+        return make
+
+    return add
+
+
 class Engine:
     """Runs operators over a set of tables: ``Engine(tables).run("ag_trending", hours=48)``."""
 
@@ -69,7 +83,8 @@ class Engine:
         return OPERATORS[name].sql(self.dialect(as_of), **params)
 
     def run(self, name: str, as_of: str | None = None, **params: object) -> DataFrame:
-        return self.spark.sql(self.sql(name, as_of, **params))
+        more = PREPARED[name](self, self.dialect(as_of), **params) if name in PREPARED else {}
+        return self.spark.sql(self.sql(name, as_of, **params, **more))
 
     @staticmethod
     def parameters(name: str) -> dict[str, object]:
