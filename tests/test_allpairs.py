@@ -53,7 +53,8 @@ def people(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("name, params", [
-    ("fp_similarity", {}),
+    ("fp_similarity", {}), ("co_sockpuppets", {"overall": 0.3, "temporal": 0.0, "k": 4}), ("co_sock_network", {"overall": 0.3, "temporal": 0.0, "least": 0.2, "k": 3}),
+    ("al_sockpuppet", {"overall": 0.3, "temporal": 0.0}),
 ])
 @pytest.mark.parametrize("few_keys", [1024, 0])
 def test_authors_by_tiles(people, monkeypatch, name, params, few_keys):
