@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-from tideloom.operators import allpairs
+from tideloom.operators import allpairs, detectors
 from tideloom.plans.registry import Engine
 from tideloom.tables import Tables
 
@@ -54,7 +54,7 @@ def people(spark, monkeypatch):
 
 @pytest.mark.parametrize("name, params", [
     ("fp_similarity", {}), ("co_sockpuppets", {"overall": 0.3, "temporal": 0.0, "k": 4}), ("co_sock_network", {"overall": 0.3, "temporal": 0.0, "least": 0.2, "k": 3}),
-    ("al_sockpuppet", {"overall": 0.3, "temporal": 0.0}),
+    ("al_sockpuppet", {"overall": 0.3, "temporal": 0.0}), ("mx_combined", {}), ("mx_combined", {"counted_topics": True}),
 ])
 @pytest.mark.parametrize("few_keys", [1024, 0])
 def test_authors_by_tiles(people, monkeypatch, name, params, few_keys):
@@ -63,3 +63,35 @@ def test_authors_by_tiles(people, monkeypatch, name, params, few_keys):
     assert "FlatMapGroupsInArrow" in plan_of(found) and "Join" not in plan_of(found).split("FlatMapGroupsInArrow")[0]
     got = rows(found.columns, found.collect())
     assert got and got == plain(people, name, **params)
+
+
+def test_pushes_compare_only_authors_of_a_window(spark, people, monkeypatch):
+    run, ran = Engine.run, []
+    monkeypatch.setattr(Engine, "run", lambda self, name, *a, **k: ran.append(name) or run(self, name, *a, **k))
+    posts = people.tables["posts"]
+    told = posts.selectExpr("id as post_id", "concat('n', id % 2) as narrative_id", "created_at")
+    engine = Engine(Tables(spark, {**people.tables.frames, "narrative_posts": told}), "2024-01-08 00:00:00")
+    got = {(r["narrative_id"], r["post_id"]): r for r in detectors.pushes(engine, hours=20, days=30).collect()}
+    assert got and "fp_similarity" not in ran
+    alike = {(r["author1"], r["author2"]): r["similarity"] for r in engine.run("fp_similarity").collect()}
+    for r in got.values():
+        names = sorted(r["members"].split(","))
+        mean = [alike[a, b] for i, a in enumerate(names) for b in names[i + 1 :] if (a, b) in alike]
+        assert r["fingerprint_similarity"] == pytest.approx(sum(mean) / len(mean), abs=6e-4)
+
+
+def test_rhythm_groups_keep_no_pairs(people, monkeypatch):
+    run, ran = Engine.run, []
+    monkeypatch.setattr(Engine, "run", lambda self, name, *a, **k: ran.append(name) or run(self, name, *a, **k))
+    got = [(r["leader"], r["members"], r["least_similarity"]) for r in detectors.bot_farms(people, threshold=0.3, least=3, least_members=2, k=50).collect()]
+    assert ran == []
+    near = {}
+    for r in people.run("tm_profile_pairs", least=3, threshold=0.3).collect():
+        near.setdefault(r["author1"], []).append((r["author2"], r["similarity"]))
+    used, want = set(), []
+    for leader in sorted(near):
+        own = [(b, s) for b, s in sorted(near[leader]) if b not in used]
+        if leader not in used and own:
+            used.update([leader, *(b for b, _ in own)])
+            want.append((leader, ",".join([leader, *(b for b, _ in own)]), min(s for _, s in own)))
+    assert want and sorted(got) == sorted(want)
