@@ -95,3 +95,41 @@ def test_rhythm_groups_keep_no_pairs(people, monkeypatch):
             used.update([leader, *(b for b, _ in own)])
             want.append((leader, ",".join([leader, *(b for b, _ in own)]), min(s for _, s in own)))
     assert want and sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("block", [4096, 4])
+def test_neighbours_in_time_by_buckets(spark, monkeypatch, block):
+    import functools
+
+    monkeypatch.setattr(allpairs, "STRIP", 3)
+    monkeypatch.setattr(allpairs, "near_in_time", functools.partial(allpairs.near_in_time, block=block))
+    times = [at(h / 4) for h in [0, 0, 1, 1, 1, 2, 2, 3, 4, 4, 5, 5, 5, 5, 8, 9, 40, 41, 43, 47]]
+    tables = community(spark, [(i, "t", "x", f"a{i}", "k", 0, 0, when) for i, when in enumerate([*times, None])], [(1, 1, "c", "a2", 0, at(1))])
+    some = [(i, "post", [float((i * 7) % 5), float(i % 4), 1.0]) for i in range(17)] + [(20, "post", [1.0, 1.0, 1.0]), (3, "comment", [1.0, 1.0, 1.0])]
+    odd = [(17, "post", None), (18, "post", [0.0, 0.0, 0.0]), (19, "post", [1.0, 2.0])]
+    embs = spark.createDataFrame(some + odd, "content_id long, content_type string, embedding array<float>")
+    engine = Engine(Tables(spark, {**tables.frames, "embs": embs}), "2024-01-03 00:00:00")
+    for minutes in (30, 45):
+        found = engine.run("jn_range_time_sym", minutes=minutes, threshold=0.5)
+        assert "FlatMapGroupsInArrow" in plan_of(found) and "Join" not in plan_of(found)
+        got = rows(found.columns, found.collect())
+        assert len(got) > 9 and got == plain(engine, "jn_range_time_sym", minutes=minutes, threshold=0.5)
+
+
+def test_rules_share_what_costs_most(spark, people, monkeypatch):
+    """Fingerprints are made once for all rules, and near pairs are found once, not at each of their uses."""
+    from tideloom.operators import detectors as rules
+
+    made, kept = [], []
+    monkeypatch.setattr(allpairs, "whole", lambda d, f=allpairs.whole: made.append(1) or f(d))
+    monkeypatch.setattr(rules, "stored", lambda df, tag, f=rules.stored: kept.append(tag) or f(df, tag))
+    posts = people.tables["posts"]
+    told = posts.selectExpr("id as post_id", "concat('n', id % 2) as narrative_id", "created_at")
+    embs = posts.selectExpr("id as content_id", "'post' as content_type", "array(cast(id % 3 as float), 1f) as embedding")
+    engine = Engine(Tables(spark, {**people.tables.frames, "narrative_posts": told, "embs": embs}), "2024-01-08 00:00:00")
+    tests = {"al_sockpuppet": {"overall": 0.3, "temporal": 0.0}, "al_sync": {"low": 0.0, "high": 0.1, "minutes": 300, "threshold": 0.1}, "al_push": {"critical": 0.05, "high": 0.02, "medium": 0.01, "alike": 0.5, "hours": 20, "days": 30}}
+    got = {(r["rule"], r["severity"]): r["alerts"] for r in rules.all_alerts(engine, tests).collect()}
+    assert len(made) == 1 and kept.count("sync-pairs") == 1
+    for rule, params in tests.items():
+        found = rules.DETECTED[rule](engine, **params) if rule in rules.DETECTED else engine.run(rule, **params)
+        assert {(rule, r["severity"]): r["count"] for r in found.groupBy("severity").count().collect()} == {k: n for k, n in got.items() if k[0] == rule} != {}
