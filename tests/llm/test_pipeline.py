@@ -4,7 +4,7 @@ import corpus_pipeline
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tideloom.llm import language
+from tideloom.llm import common, language
 
 from .test_neardup import brute as near_groups
 
@@ -46,3 +46,30 @@ def test_run(spark):
         found[r["doc_id"]] = found.get(r["doc_id"], 0) + r["length"]
         assert r["doc_tokens"] == lengths[r["doc_id"]]
     assert found == lengths
+
+
+def python_steps_side_by_side(plan):
+    """Python steps of a plan (printed as a tree) that take what another one gives, with no exchange between."""
+    above, found = [], []
+    for line in plan.splitlines():
+        depth = next((i for i, c in enumerate(line) if c.isalpha() or c == "("), 0)
+        above = [x for x in above if x[0] < depth]
+        if "MapInArrow" in line:
+            nearest = next((kind for _, kind in reversed(above) if kind), "")
+            found += [line] if nearest == "python" else []
+        above.append((depth, "python" if "MapInArrow" in line else "exchange" if "Exchange" in line else ""))
+    return found
+
+
+def test_a_task_needs_one_python_worker(spark, monkeypatch):
+    plans = {}
+    stored = common.stored
+
+    def noted(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, tag)
+
+    monkeypatch.setattr(common, "stored", noted)
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" in plans["neardup-texts"]
+    assert {tag: found for tag, plan in plans.items() if (found := python_steps_side_by_side(plan))} == {}

@@ -1,12 +1,14 @@
 """Induced suffix order against sorting, and repeat removal against a table of all windows."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tideloom.llm.induced import Store, suffix_order
-from tideloom.llm.substring_dedup import merge, remove_repeats, repeats
+from tideloom.llm.substring_dedup import NO_ID, _judged, _packed, _sides, merge, parcels, remove_repeats, repeats, segments
 
 
 def sorted_suffixes(text, cap):
@@ -111,3 +113,35 @@ def test_input_that_is_no_scan_is_stored_first(spark):
     rows = [(r["doc_id"], r["text"]) for r in dealt.select("doc_id", "text").collect()]
     found = {r["doc_id"]: tuple(r)[1:] for r in repeats(dealt, parcel_bytes=100_000).collect()}
     assert found == brute(rows)
+
+
+def peak_of(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_shard():
+    rng = np.random.default_rng(11)
+    words = [bytes(rng.integers(97, 123, 6, dtype=np.uint8)) + b" " for _ in range(3000)]
+    bodies = [b"".join(words[k] for k in rng.integers(0, 3000, 12)) for _ in range(12_000)]
+    ids = np.arange(len(bodies)) + 5
+    ids[-1] = NO_ID
+    one = _packed(len(bodies).to_bytes(4, "little") + ids.astype("<i8").tobytes() + np.fromiter(map(len, bodies), "<u2").tobytes() + b"".join(bodies))
+    two = _packed((1).to_bytes(4, "little") + np.array([7], "<i8").tobytes() + np.array([84], "<u2").tobytes() + bodies[0])
+    told, peak = peak_of(lambda: _judged([one, two], 50, 1))
+    assert told[0] is None and told[1] is not None  # of the first parcel no content is repeated at a smaller id
+    assert peak < 40 * sum(map(len, bodies))
+
+
+def test_memory_of_a_parcel():
+    rng = np.random.default_rng(12)
+    texts = ["".join(map(chr, rng.integers(97, 123, 4000))) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], names=["id", "text"])
+    (parcel,) = parcels([batch], "id", "text", 8_000_000)
+    (value, _, numbers), peak = peak_of(lambda: _sides(parcel, segments(parcel.data, parcel.bounds, 50), 3))
+    assert len(value) == max(n.max() for n in numbers) + 1
+    assert peak < 7 * len(parcel.data)

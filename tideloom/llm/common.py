@@ -144,7 +144,10 @@ def tidied(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
 
 def text_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, one after the other, and where each begins, with the end; null counts as empty."""
-    array = pc.fill_null(pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type), "").cast(pa.binary()).cast(pa.large_binary())
+    array = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    if array.null_count:
+        array = pc.fill_null(array, "")
+    array = array.cast(pa.binary()).cast(pa.large_binary())
     places = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
     data = np.frombuffer(array.buffers()[2] or b"", np.uint8)[places[0] : places[-1]]
     return data, places - places[0]

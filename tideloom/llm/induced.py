@@ -10,6 +10,7 @@ the least common prefix over the stretch of the scan between the two that put th
 Names are written as two digits for the recursion, which keeps the number of buckets near the square root of the
 number of names.  Strings of at most ``in_memory`` names are ordered by prefix doubling instead.
 Common prefixes are cut at ``cap`` symbols; suffixes that agree in more than ``cap`` symbols keep their true order.
+Positions and names take 32 bits where they fit; what is needed of a stretch only is made stretch by stretch.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 
 #: Strings of names of at most this length are the recursion's base case.
 IN_MEMORY = 1_000_000
+STRETCH = 1 << 18
 
 
 class Store:
@@ -54,6 +56,11 @@ class Store:
             os.rmdir(self.folder)
 
 
+def _position(n: int) -> type:
+    """The kind of numbers up to ``n``."""
+    return np.int32 if n < 2**31 - 1 else np.int64
+
+
 def _least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(values[lo : hi]) for each pair, lo < hi, by doubling tables."""
     width = hi - lo
@@ -73,7 +80,7 @@ def _least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nda
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix of the suffixes a and b, known to be ``start`` at least, cut at ``cap``."""
     n = len(text)
-    out = np.minimum(start, cap).astype(np.int64)
+    out = np.minimum(start, cap).astype(a.dtype)
     live = np.flatnonzero(out < cap)
     while len(live):
         x, y = a[live] + out[live], b[live] + out[live]
@@ -88,36 +95,45 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray, c
 def _doubling(names: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """Order and common prefixes of a short string of names, by prefix doubling."""
     n = len(names)
-    rank = names.astype(np.int64) + 1  # dense
+    small = _position(n + 2 * cap)
+    rank = names.astype(small) + small(1)  # dense
     width = 1
-    levels = [rank.astype(np.int32)]  # ranks by the first 1, 2, 4, ... names
+    levels = [rank]  # ranks by the first 1, 2, 4, ... names
     while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - width)] = rank[width:]
-        key = rank * (n + 2) + ahead
+        key = rank.astype(np.int64)
+        key *= n + 2
+        key[: max(0, n - width)] += rank[width:]
         order = np.argsort(key)  # ties are ranked alike, so any order of them will do
         key = key[order]
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) + 1
-        rank = np.empty(n, np.int64)
+        new = np.ones(n, small)
+        new[1:] += np.cumsum(key[1:] != key[:-1], dtype=small)
+        del key
+        rank = np.empty(n, small)
         rank[order] = new
+        distinct = int(new[-1])
+        del new
         width *= 2
         if width <= 2 * cap:
-            levels.append(rank.astype(np.int32))
-        if new[-1] == n or width >= n:
+            levels.append(rank)
+        if distinct == n or width >= n:
             break
-    lcp = np.zeros(n, np.int64)
+        del order
+    del rank
+    order = order.astype(small)
+    lcp = np.zeros(n, small)
     a, b = order[:-1].copy(), order[1:].copy()
-    for k in reversed(range(len(levels))):
-        level = np.append(levels[k], np.int32(-1))
+    top = len(levels) - 1
+    for k in range(top, -1, -1):
+        level = np.append(levels.pop(), small(-1))
         # equal ranks mean equal names as far as both go; near the end they must not reach past it
         inside = (a + (1 << k) <= n) & (b + (1 << k) <= n)
         same = inside & (level[np.minimum(a, n)] == level[np.minimum(b, n)])
-        if k == len(levels) - 1:
+        if k == top:
             rounds = -(-cap // (1 << k))
         else:
             rounds = 1
         for _ in range(rounds):
-            jump = np.where(same, 1 << k, 0)
+            jump = same * small(1 << k)
             lcp[1:] += jump
             a += jump
             b += jump
@@ -136,38 +152,46 @@ def _names(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, sigma: int) -
     per = 63 // bits
     n, m = len(text), len(starts)
     length = ends - starts + 1
-    name = np.zeros(m, np.int64)
-    todo = np.arange(m)
+    small = _position(m)
+    name = np.zeros(m, small)
+    todo = np.arange(m, dtype=small)
     consumed = 0
     while len(todo):
         key = np.zeros(len(todo), np.uint64)
-        for k in range(per):
-            at = starts[todo] + consumed + k
-            inside = consumed + k < length[todo]
-            symbol = np.where(inside, text[np.minimum(at, n - 1)].astype(np.int64) + 1, sigma + 1)
-            symbol[inside & (at >= n)] = 0  # past the end of the text: the least
-            key = (key << np.uint64(bits)) | symbol.astype(np.uint64)
+        for lo in range(0, len(todo), STRETCH):
+            own = todo[lo : lo + STRETCH]
+            part = key[lo : lo + STRETCH]
+            for k in range(per):
+                at = starts[own].astype(np.int64) + consumed + k
+                inside = consumed + k < length[own]
+                symbol = np.where(inside, text[np.minimum(at, n - 1)].astype(np.int64) + 1, sigma + 1)
+                symbol[inside & (at >= n)] = 0  # past the end of the text: the least
+                part <<= np.uint64(bits)
+                part |= symbol.astype(np.uint64)
         order = np.lexsort((key, name[todo])) if consumed else np.argsort(key, kind="stable")
-        rows = todo[order]
-        k, base = key[order], name[rows]
-        first = np.ones(len(rows), bool)
-        first[1:] = (base[1:] != base[:-1]) | (k[1:] != k[:-1])
+        rows, key = todo[order], key[order]
+        del order, todo
+        base = name[rows]
         group = np.ones(len(rows), bool)
         group[1:] = base[1:] != base[:-1]
-        index = np.arange(len(rows))
-        group_start = np.maximum.accumulate(np.where(group, index, 0))
-        first_start = np.maximum.accumulate(np.where(first, index, 0))
-        name[rows] = base + first_start - group_start
+        first = group.copy()
+        first[1:] |= key[1:] != key[:-1]
+        del key
+        index = np.arange(len(rows), dtype=small)
+        base += np.maximum.accumulate(np.where(first, index, small(0)))
+        base -= np.maximum.accumulate(np.where(group, index, small(0)))
+        name[rows] = base
+        del base, group, index
         consumed += per
         # groups of several members, of which one at least goes on
-        longer = length[rows] > consumed
-        run = np.cumsum(first) - 1
-        sizes = np.bincount(run)
-        more = np.bincount(run, weights=longer) > 0
-        todo = rows[((sizes > 1) & more)[run]]
+        at = np.flatnonzero(first)
+        sizes = np.diff(np.append(at, len(rows)))
+        more = (sizes > 1) & np.logical_or.reduceat(length[rows] > consumed, at)
+        todo = rows[np.repeat(more, sizes)]
+        del rows, first, at, sizes, more
     used = np.zeros(m, bool)
     used[name] = True
-    return (np.cumsum(used) - 1)[name]
+    return (np.cumsum(used, dtype=small) - small(1))[name]
 
 
 def _scan(text: np.ndarray, store: Store, rising: bool, is_s: np.ndarray, counts: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray, seed_bounds: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,21 +285,24 @@ def suffix_order(text: np.ndarray, cap: int, store: Store | None = None, in_memo
     store = store or Store()
     sigma = int(text.max()) + 1
     # types: S if the next different symbol is greater; the last suffix is L
-    small = np.int32 if n < 2**31 - 1 else np.int64  # of positions
-    up, same = text[1:] > text[:-1], text[1:] == text[:-1]
-    nearest = np.minimum.accumulate(np.where(same, n, np.arange(n - 1, dtype=small)).astype(small)[::-1])[::-1]
+    small = _position(n + cap)
     is_s = np.zeros(n, bool)
-    is_s[:-1] = up[np.minimum(nearest, n - 2)] & (nearest < n)
-    del up, same, nearest
-    star = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    for hi in range(n - 1, 0, -STRETCH):
+        lo = max(0, hi - STRETCH)
+        part = text[lo : hi + 1]
+        up, same = part[1:] > part[:-1], part[1:] == part[:-1]
+        far = hi - lo  # equal up to the next stretch, which is known
+        nearest = np.minimum.accumulate(np.where(same, far, np.arange(far))[::-1])[::-1]
+        is_s[lo:hi] = np.where(nearest < far, up[np.minimum(nearest, far - 1)], is_s[hi])
+    star = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(small)
     m = len(star)
     names_cap = cap // 2 + 1  # a piece goes two symbols on at least
     if m > 1:
-        name = _names(text, star, np.append(star[1:], n), sigma)
+        name = _names(text, star, np.append(star[1:], small(n)), sigma)
         if int(name.max()) + 1 == m:
-            order = np.empty(m, np.int64)
-            order[name] = np.arange(m)
-            shared = np.zeros(m, np.int64)
+            order = np.empty(m, small)
+            order[name] = np.arange(m, dtype=small)
+            shared = np.zeros(m, small)
         elif m <= in_memory:
             order, shared = _doubling(name, names_cap)
         else:
@@ -284,22 +311,27 @@ def suffix_order(text: np.ndarray, cap: int, store: Store | None = None, in_memo
             two_order, two_lcp = suffix_order(digits, 2 * names_cap, store, in_memory)
             del digits
             even = np.flatnonzero(two_order % 2 == 0)
-            order = two_order[even].astype(np.int64) // 2
-            shared = np.zeros(m, np.int64)
+            order = two_order[even] // 2
+            shared = np.zeros(m, small)
             shared[1:] = _least_between(two_lcp, even[:-1] + 1, even[1:] + 1) // 2
-        ends = np.append(star, n)
+        del name
+        ends = np.append(star, small(n))
         star_sorted = star[order]
-        star_lcp = np.zeros(m, np.int64)
         reach = ends[np.minimum(order[1:] + shared[1:], m)] - star_sorted[1:]
-        star_lcp[1:] = _common(text, star_sorted[:-1], star_sorted[1:], np.minimum(reach, cap), cap)
+        del order, shared, ends
+        star_lcp = np.zeros(m, np.int16)
+        star_lcp[1:] = _common(text, star_sorted[:-1], star_sorted[1:], reach, cap)
+        del reach
     else:
-        star_sorted, star_lcp = star, np.zeros(m, np.int64)
+        star_sorted, star_lcp = star, np.zeros(m, np.int16)
     s_counts = np.bincount(text[is_s], minlength=sigma)
     l_counts = np.bincount(text[~is_s], minlength=sigma)
     star_bounds = np.concatenate([[0], np.cumsum(np.bincount(text[star], minlength=sigma))])
+    del star
     l_queue, l_lcp, l_bounds = _scan(text, store, True, is_s, l_counts, star_sorted, star_lcp, star_bounds, cap)
     # the second scan meets the L-suffixes in falling order
-    down, down_lcp = l_queue[::-1], np.concatenate([[0], l_lcp[::-1][:-1]]) if len(l_lcp) else l_lcp
+    down, down_lcp = l_queue[::-1], np.concatenate([np.zeros(1, l_lcp.dtype), l_lcp[:0:-1]]) if len(l_lcp) else l_lcp
+    del star_sorted, star_lcp
     down_bounds = len(l_queue) - l_bounds[::-1]
     s_queue, s_lcp, s_bounds = _scan(text, store, False, is_s, s_counts, down, down_lcp, down_bounds, cap)
     order, lcp = store.array(n, small), store.array(n, np.int16)

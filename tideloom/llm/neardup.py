@@ -285,7 +285,8 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, levels: int =
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # a bit map of bounded size tells most other texts before they would be moved
     source = common.likely(source, "id", common.marked(wanted, "wanted_id"))
-    found = source.join(wanted, F.col("id") == F.col("wanted_id"))
+    # both sides move: were a small one sent to all, each task would hold two Python workers, which stay with the executor
+    found = source.join(wanted.hint("merge"), F.col("id") == F.col("wanted_id"))
     sets = common.stored(_same_set(found, size), "neardup-texts")
     placed_blocks = blocked(sets.select("family", "member", "n_shingles"), "family", family_block, "n_shingles", block_shingles)
     tasks = placed_blocks.select("task", "member").join(sets.select("member", "text"), "member")

@@ -98,10 +98,13 @@ def segments(data: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarr
         before = mix(own[np.where(left, a - SEED, 0)] * _BASE_TO_SEED + own[a]) | np.uint64(1)
         after = mix((own[a] * _BASE_TO_SEED + own[np.where(right, a + SEED, 0)]) ^ np.uint64(0x5DEECE66D)) | np.uint64(1)
         before[~left], after[~right] = 0, 0
-        parts.append((starts + lo, ends + lo, mixed[a], before, after))
+        place = np.int32 if len(data) < 2**31 else np.int64
+        parts.append(((starts + lo).astype(place), (ends + lo).astype(place), mixed[a], before, after))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 3
-    return tuple(np.concatenate(c) for c in zip(*parts))
+    columns = [list(c) for c in zip(*parts)]
+    parts.clear()
+    return tuple(np.concatenate(columns.pop(0)) for _ in range(len(columns)))
 
 
 @dataclass
@@ -138,26 +141,32 @@ def _unpacked(raw: bytes) -> bytes:
 def _sides(parcel: Parcel, found: tuple[np.ndarray, ...], shards: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The distinct side hashes of a parcel as shard and 32 bits, whether two texts here share each, and the number of each segment's two (-1: none)."""
     starts, _, _, before, after = found
-    text = np.searchsorted(parcel.bounds, starts, "right")
-    rows = [np.flatnonzero(before), np.flatnonzero(after)]
+    rows = [np.flatnonzero(before).astype(np.int32), np.flatnonzero(after).astype(np.int32)]
     value = np.concatenate([before[rows[0]], after[rows[1]]])
-    text = np.concatenate([text[rows[0]], text[rows[1]]])
-    value = ((value >> np.uint64(24)) * np.uint64(shards)) >> np.uint64(8)  # shards in order of the hash
-    order = np.argsort(value, kind="stable")  # and within a hash in order of the text, as it comes from one side
-    value, text = value[order], text[order]
+    value >>= np.uint64(24)  # shards in order of the hash
+    value *= np.uint64(shards)
+    value >>= np.uint64(8)
+    order = np.argsort(value, kind="stable").astype(np.int32)  # and within a hash in order of the text, as it comes from one side
+    value = value[order]
     new = np.ones(len(value), bool)
     new[1:] = value[1:] != value[:-1]
-    number = np.empty(len(value), np.int64)
-    number[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
+    value = value[first]
+    number = np.empty(len(order), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    del new
+    text = np.searchsorted(parcel.bounds, starts, "right").astype(np.int32)
+    text = np.concatenate([text[rows[0]], text[rows[1]]])[order]
+    del order
     own = np.maximum.reduceat(text, first) != np.minimum.reduceat(text, first) if len(first) else np.zeros(0, bool)
+    del text, first
     numbers, at = [], 0
     for r in rows:
-        column = np.full(len(starts), -1)
+        column = np.full(len(starts), -1, np.int32)
         column[r] = number[at : at + len(r)]
         numbers.append(column)
         at += len(r)
-    return value[first], own, numbers
+    return value, own, numbers
 
 
 def _ask_sides(source: DataFrame, least: int, parcel_bytes: int, shards: int) -> DataFrame:
@@ -322,21 +331,32 @@ def _joined(raw: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     return np.frombuffer(raw, "<i8", n, 4), np.frombuffer(raw, "<u2", n, 4 + 8 * n), raw[4 + 10 * n :]
 
 
-def winners(bodies: list[bytes], smallest: np.ndarray, least: int, queue_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all contents, one after the other with a byte between: the smallest id of the string at each place, where windows start, and where contents begin."""
+def winners(bodies: list[bytes], smallest: np.ndarray, least: int, queue_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For all contents, one after the other with a byte between: the least of ``smallest`` of the string at each place, and where contents begin.
+
+    Where no window starts, the greatest number of the kind of ``smallest`` stands.
+    """
     text = np.frombuffer(b"\xff".join(bodies) + b"\xff", np.uint8)  # a byte that UTF-8 never has
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
     begin = np.cumsum(sizes + 1) - sizes - 1
+    none = np.iinfo(smallest.dtype).max
     with Store(least=queue_bytes) as store:
         suffixes, shared = suffix_order(text, least, store)
-        owner = np.repeat(np.arange(len(bodies), dtype=np.int32), sizes + 1)
-        valid = np.arange(len(text)) <= (begin + sizes - least)[owner]
-        by = np.where(valid, smallest[owner], NO_ID)
-        del owner
-        edge = np.flatnonzero(np.concatenate([[True], shared[1:] < least]))
-        out = np.empty(len(text), np.int64)
-        out[suffixes] = np.repeat(np.minimum.reduceat(by[suffixes], edge), np.diff(np.append(edge, len(text))))
-    return out, valid, begin
+        del text
+        windows = np.stack([sizes + 1 - least, np.full(len(sizes), least)], axis=1).reshape(-1)
+        by = np.repeat(np.stack([smallest, np.full_like(smallest, none)], axis=1).reshape(-1), windows)
+        out = np.empty(len(by), smallest.dtype)
+        lo = 0
+        while lo < len(by):
+            hi = min(lo + STRETCH, len(by))
+            while hi < len(by) and shared[hi] >= least:  # to the end of a run
+                more = np.flatnonzero(shared[hi : hi + STRETCH] < least)
+                hi = hi + int(more[0]) if len(more) else min(hi + STRETCH, len(by))
+            edge = np.flatnonzero(shared[lo:hi] < least)
+            at = suffixes[lo:hi]
+            out[at] = np.repeat(np.minimum.reduceat(by[at], edge), np.diff(np.append(edge, hi - lo)))
+            lo = hi
+    return out, begin
 
 
 def _judged(payloads: list[bytes], least: int, queue_bytes: int) -> list[bytes | None]:
@@ -346,23 +366,28 @@ def _judged(payloads: list[bytes], least: int, queue_bytes: int) -> list[bytes |
     """
     number: dict[bytes, int] = {}
     asked = []
-    smallest = np.zeros(0, np.int64)
     for payload in payloads:
         ids, lengths, body = _joined(_unpacked(payload))
         ends = np.cumsum(lengths, dtype=np.int64)
-        content = np.fromiter((number.setdefault(body[a:b], len(number)) for a, b in zip((ends - lengths).tolist(), ends.tolist())), np.int64, len(ids))
-        smallest = np.concatenate([smallest, np.full(len(number) - len(smallest), NO_ID)])
+        content = np.fromiter((number.setdefault(body[a:b], len(number)) for a, b in zip((ends - lengths).tolist(), ends.tolist())), np.int32, len(ids))
+        asked.append((ids.copy(), content))
+    del ids, lengths, body, ends, content
+    smallest = np.full(len(number), NO_ID)
+    for ids, content in asked:
         np.minimum.at(smallest, content, ids)
-        asked.append((ids, content))
+    # the order of the ids stands for them, in half their bytes
+    order, rank = np.unique(smallest, return_inverse=True)
     bodies = list(number)
-    del number
-    winner, valid, begin = winners(bodies, smallest, least, queue_bytes)
+    del number, smallest
+    winner, begin = winners(bodies, rank.astype(np.int32), least, queue_bytes)
     n_windows = np.fromiter(map(len, bodies), np.int64, len(bodies)) - least + 1
-    worst = np.maximum.reduceat(np.where(valid, winner, -1), begin)
-    best = np.minimum.reduceat(np.where(valid, winner, NO_ID), begin)
+    del bodies, rank
+    reach = np.stack([begin, begin + n_windows], axis=1).reshape(-1)
+    worst, best = np.maximum.reduceat(winner, reach)[::2], np.minimum.reduceat(winner, reach)[::2]
     out: list[bytes | None] = []
     for ids, content in asked:
-        code = np.where(worst[content] < ids, 1, np.where(best[content] < ids, 2, 0)).astype(np.uint8)
+        below = np.searchsorted(order, ids)  # of the ranks, those of smaller ids
+        code = np.where(worst[content] < below, 1, np.where(best[content] < below, 2, 0)).astype(np.uint8)
         if not code.any():
             out.append(None)
             continue
@@ -370,12 +395,12 @@ def _judged(payloads: list[bytes], least: int, queue_bytes: int) -> list[bytes |
         for k in np.flatnonzero(code == 2).tolist():
             c = content[k]
             hit = np.zeros(int(n_windows[c]) + 2, bool)
-            hit[1:-1] = winner[begin[c] : begin[c] + n_windows[c]] < ids[k]
+            hit[1:-1] = winner[begin[c] : begin[c] + n_windows[c]] < below[k]
             edges = np.flatnonzero(hit[1:] != hit[:-1])
             counts.append(len(edges) // 2)
-            runs.append(edges)
-        flat = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-        out.append(bytes(4) + _packed(code.tobytes() + np.array(counts, "<u2").tobytes() + flat.astype("<u2").tobytes()))
+            runs.append(edges.astype("<u2"))
+        flat = np.concatenate(runs) if runs else np.zeros(0, "<u2")
+        out.append(bytes(4) + _packed(code.tobytes() + np.array(counts, "<u2").tobytes() + flat.tobytes()))
     return out
 
 
