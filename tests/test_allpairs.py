@@ -133,3 +133,26 @@ def test_rules_share_what_costs_most(spark, people, monkeypatch):
     for rule, params in tests.items():
         found = rules.DETECTED[rule](engine, **params) if rule in rules.DETECTED else engine.run(rule, **params)
         assert {(rule, r["severity"]): r["count"] for r in found.groupBy("severity").count().collect()} == {k: n for k, n in got.items() if k[0] == rule} != {}
+
+
+def test_recurring_texts_are_read_once_and_not_kept(spark):
+    """Fingerprints from each text's counts are those of the plans; plans that name no text run over tables without them."""
+    from tideloom.tables import bound_tables
+
+    tables = bound_tables(spark, "/root/testdata/sf0.001")
+    assert "content" not in tables.lean["posts"].columns and not tables.frames["posts"].is_cached and not tables.frames["comments"].is_cached
+    engine = Engine(tables)
+    assert "documents" not in plan_of(engine.run("ag_agents_board")) and "documents" in plan_of(engine.run("fp_vocab"))
+    found = allpairs.fingerprint_rows(engine, engine.dialect()).selectExpr("author_name", "explode(arrays_zip(dims, v)) as z").selectExpr("author_name", "z.dims as dim", "round(z.v, 4) as v")
+    assert rows(found.columns, found.collect()) == plain(engine, "fp_compute")
+
+
+def test_push_windows_keep_no_names(spark, people):
+    """Windows of many posts give on numbers alone; members are named for the pushes that are kept."""
+    told = people.tables["posts"].selectExpr("id as post_id", "'n' as narrative_id", "created_at")
+    engine = Engine(Tables(spark, {**people.tables.frames, "narrative_posts": told}), "2024-01-08 00:00:00")
+    posts = engine.query(lambda d: detectors.narrative_posts(d, 30))
+    found = allpairs.push_windows(posts, allpairs.fingerprint_rows(engine, engine.dialect()), 20 * 3_600_000_000, 3)
+    assert "names" not in found.columns
+    got = sorted((r["post_id"], r["authors"], r["posts"]) for r in found.collect())
+    assert got and got == sorted((r["post_id"], r["authors"], r["posts"]) for r in engine.run("nv_pushes", hours=20, least=3, days=30).collect())
