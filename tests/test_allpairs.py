@@ -155,3 +155,11 @@ def test_push_windows_keep_no_names(spark, people):
     assert "names" not in found.columns
     got = sorted((r["post_id"], r["authors"], r["posts"]) for r in found.collect())
     assert got and got == sorted((r["post_id"], r["authors"], r["posts"]) for r in engine.run("nv_pushes", hours=20, least=3, days=30).collect())
+
+
+@pytest.mark.parametrize("name, k", [("co_sockpuppets", 50), ("co_sock_network", 100)])
+def test_default_limits_hold_within_tiles(people, monkeypatch, name, k):
+    given = []
+    monkeypatch.setattr(allpairs, "alike", lambda rows, *limits, f=allpairs.alike: given.append(limits) or f(rows, *limits))
+    found = people.run(name, overall=0.3, temporal=0.0)
+    assert given[0][-1] == k and rows(found.columns, found.collect()) == plain(people, name, overall=0.3, temporal=0.0)

@@ -87,7 +87,11 @@ class Engine:
         return OPERATORS[name].sql(self.dialect(as_of), **params)
 
     def run(self, name: str, as_of: str | None = None, **params: object) -> DataFrame:
-        more = PREPARED[name](self, self.dialect(as_of), **params) if name in PREPARED else {}
+        more = {}
+        if name in PREPARED:
+            # a limit that the plan has by default limits what is prepared too
+            takes = inspect.signature(PREPARED[name]).parameters
+            more = PREPARED[name](self, self.dialect(as_of), **{k: v for k, v in self.parameters(name).items() if k in takes} | params)
         return self.query(lambda d: OPERATORS[name].sql(d, **params, **more), as_of)
 
     def query(self, plan: Callable[[Dialect], str], as_of: str | None = None) -> DataFrame:
